@@ -1,0 +1 @@
+"""Intentionally empty: every input of this library is a finished batch of survey files."""
