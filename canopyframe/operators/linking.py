@@ -72,13 +72,13 @@ def _with_parent(links: DataFrame, side: str, total: int, hot_from: int) -> Data
 
 
 def _star_round(links: DataFrame, total: int, hot_from: int) -> DataFrame:
+    # Large star: every node above ``lo`` is moved to the smallest neighbour of ``lo``.
     large = _with_parent(links, "lo", total, hot_from).select(
-        "hi", F.coalesce("up", "lo").alias("lo")).distinct()
-    small = _with_parent(large, "hi", total, hot_from)
-    to_parent = small.select("hi", F.col("up").alias("lo"))
-    sideways = small.filter(F.col("lo") != F.col("up")).select(
+        "hi", F.coalesce("up", "lo").alias("lo"))
+    # Small star: all smaller neighbours of a node, and the node itself, move to the smallest.
+    sideways = _with_parent(large, "hi", total, hot_from).filter(F.col("lo") != F.col("up")).select(
         F.col("lo").alias("hi"), F.col("up").alias("lo"))
-    return to_parent.unionByName(sideways).distinct()
+    return large.groupBy("hi").agg(F.min("lo").alias("lo")).unionByName(sideways).distinct()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, node: str = "node",

@@ -190,7 +190,7 @@ def _half_t(x: float) -> float:
 
 
 def _bounded_collect(df: DataFrame) -> list:
-    rows = df.take(MAX_CELLS + 1)
+    rows = df.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} (grid, region, category) cells")
     return rows

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions.disturbance import yes_no_flag
 from canopyframe.functions.measures import event_year, years_since, zero_if_missing
+from canopyframe.operators.panel import FIRST_YEAR, MIN_DIAMETER
 from canopyframe.operators.ranking import first_per_key
 
 VISIT = ["pltID", "YEAR"]
@@ -42,31 +43,47 @@ def mortality_history(mort: DataFrame) -> DataFrame:
     return filled.join(history.drop("MORT_PERC"), on=VISIT, how="inner")
 
 
-def visits_with_mortality(trees: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per visit: its first tree row (by tree key) with the visit's mortality history.
+def visit_summary(trees: DataFrame, min_diameter: float = MIN_DIAMETER,
+                  first_year: int = FIRST_YEAR) -> DataFrame:
+    """One row per visit (and value of its constant columns) with its count of measured trees.
 
-    Trees are reduced before the join. ``pltID`` is the history's.
+    The only pass over tree rows before the final join: counts combine on the map side and the
+    text columns are grouping keys, so the aggregate stays hash based.
     """
-    first = first_per_key(trees, ["PLT_CN"], ["INVYR", "TRE_CN"]).drop("pltID")
+    measured = (F.col("DIA") > min_diameter) & (F.col("INVYR") >= first_year)
+    return trees.groupBy("PLT_CN", "INVYR", "pltID", "Disturbance").agg(
+        F.count_if(measured).alias("measured_trees"))
+
+
+def visits_with_mortality(summary: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per visit with its mortality history; ``pltID`` is the history's."""
+    first = first_per_key(summary, ["PLT_CN"], ["INVYR", "pltID", "Disturbance"])
     renamed = history.withColumnRenamed("YEAR", "INVYR")
-    return first.join(renamed, on=["PLT_CN", "INVYR"], how="inner").withColumn(
-        "Disturbance_Flag", yes_no_flag(F.col("Disturbance")))
+    return (
+        first.select("PLT_CN", "INVYR", "Disturbance")
+        .join(renamed, on=["PLT_CN", "INVYR"], how="inner")
+        .withColumn("Disturbance_Flag", yes_no_flag(F.col("Disturbance")))
+    )
 
 
 def single_disturbance_plots(visits: DataFrame) -> DataFrame:
-    """Visits of plots disturbed in exactly one survey, with the year of that disturbance."""
+    """Visits of plots disturbed in exactly one survey, with the year of that disturbance.
+
+    ``First_Max_Mort_Year`` is ``Max_Mort_Year`` of the plot's first row.
+    """
     plots = (
         visits.groupBy("pltID")
         .agg(F.sum("Disturbance_Flag").alias("_events"),
              F.count_if(F.col("Disturbance_Flag").isNull()).alias("_unknown"),
              F.max(event_year(F.col("Disturbance_Flag"), F.col("INVYR")))
-             .alias("Year_of_Disturbance"))
+             .alias("Year_of_Disturbance"),
+             F.min_by("Max_Mort_Year", F.struct("INVYR", "PLT_CN")).alias("First_Max_Mort_Year"))
         .filter((F.col("_events") == 1) & (F.col("_unknown") == 0))
-        .select("pltID", "Year_of_Disturbance")
+        .select("pltID", "Year_of_Disturbance", "First_Max_Mort_Year")
     )
     return visits.join(plots, on="pltID", how="inner").select(
         "pltID", "PLT_CN", "INVYR", "Max_Mort", "Max_Mort_Year", "Disturbance_Flag",
-        "Year_of_Disturbance")
+        "Year_of_Disturbance", "First_Max_Mort_Year")
 
 
 def one_row_per_plot(single: DataFrame) -> DataFrame:
@@ -75,12 +92,10 @@ def one_row_per_plot(single: DataFrame) -> DataFrame:
 
 def matching_event_visits(single: DataFrame) -> DataFrame:
     """Disturbance-year visits of plots whose greatest mortality fell in the disturbance year."""
-    events = (
-        one_row_per_plot(single)
-        .filter(F.col("Max_Mort_Year") == F.col("Year_of_Disturbance"))
-        .select("pltID", "Max_Mort_Year", F.col("Year_of_Disturbance").alias("INVYR"))
-    )
-    return single.join(events, on=["pltID", "Max_Mort_Year", "INVYR"], how="inner")
+    return single.filter(
+        (F.col("First_Max_Mort_Year") == F.col("Year_of_Disturbance"))
+        & (F.col("Max_Mort_Year") == F.col("First_Max_Mort_Year"))
+        & (F.col("INVYR") == F.col("Year_of_Disturbance")))
 
 
 def event_trees(trees: DataFrame, events: DataFrame) -> DataFrame:

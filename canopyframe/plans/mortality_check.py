@@ -7,20 +7,35 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions.measures import inches_to_cm
 from canopyframe.operators import mortality, panel
+from canopyframe.session import materialize
 
 
 def disturbance_and_mortality(trees: DataFrame, mort: DataFrame) -> DataFrame:
     """Visits of plots with a single disturbance, with their mortality history."""
-    visits = mortality.visits_with_mortality(trees, mortality.mortality_history(mort))
+    visits = mortality.visits_with_mortality(mortality.visit_summary(trees),
+                                             mortality.mortality_history(mort))
     return mortality.single_disturbance_plots(visits)
 
 
-def analysis_trees(trees: DataFrame, mort: DataFrame,
-                   min_trees: int = panel.MIN_TREES) -> DataFrame:
-    """Measured trees (in cm) of the event visits with enough trees, plots numbered."""
-    events = mortality.matching_event_visits(disturbance_and_mortality(trees, mort))
-    measured = panel.measured_trees(mortality.event_trees(trees, events))
-    sizes = panel.group_sizes(measured, min_trees)
+def analysis_trees(trees: DataFrame, mort: DataFrame, min_trees: int = panel.MIN_TREES,
+                   first_year: int = panel.FIRST_YEAR) -> DataFrame:
+    """Measured trees (in cm) of the event visits with enough trees, plots numbered.
+
+    Tree rows are read twice: once to summarise visits, once for the final join. Everything in
+    between works on the visit table.
+    """
+    summary = materialize(mortality.visit_summary(trees, first_year=first_year))
+    visits = mortality.visits_with_mortality(summary, mortality.mortality_history(mort))
+    events = mortality.matching_event_visits(mortality.single_disturbance_plots(visits))
+    candidates = materialize(mortality.event_trees(summary, events))
+    sizes = (
+        candidates.groupBy(*panel.VISIT_KEYS).agg(F.sum("measured_trees").alias("N_trees"))
+        .filter(F.col("N_trees") >= min_trees)
+    )
     numbered = sizes.join(panel.number_plots(sizes), on="pltID", how="full")
-    return measured.join(numbered, on=panel.VISIT_KEYS, how="inner").withColumn(
+    wanted = candidates.join(numbered, on=panel.VISIT_KEYS, how="inner").select(
+        *panel.VISIT_KEYS, "PLT_CN", "Max_Mort_Year", "Year_of_Disturbance", "N_trees", "Plot_Num")
+    measured = panel.measured_trees(trees, first_year=first_year)
+    return measured.join(wanted.dropDuplicates(["INVYR", "PLT_CN", "pltID"]),
+                         on=["INVYR", "PLT_CN", "pltID"], how="inner").withColumn(
         "DIA", inches_to_cm(F.col("DIA")))

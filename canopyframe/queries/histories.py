@@ -139,7 +139,7 @@ def _(fx):
     FROM {mort_visits}""")
 def _(fx):
     history = mortality.mortality_history(fx.fx_visit_mort)
-    return mortality.visits_with_mortality(sa(fx), history).select(
+    return mortality.visits_with_mortality(mortality.visit_summary(sa(fx)), history).select(
         "PLT_CN", "pltID", "INVYR", "Max_Mort_Year", "Disturbance", "Disturbance_Flag")
 
 
@@ -147,7 +147,7 @@ def _(fx):
     SELECT pltID, PLT_CN, INVYR, Max_Mort_Year, Disturbance_Flag, Year_of_Disturbance
     FROM {single}""")
 def _(fx):
-    return _single(fx).drop("Max_Mort")
+    return _single(fx).drop("Max_Mort", "First_Max_Mort_Year")
 
 
 @query("f15_j16_event_visits", """
@@ -163,16 +163,17 @@ def _(fx):
     FROM (SELECT *, count(*) OVER (PARTITION BY pltID, INVYR) AS N_trees
           FROM (SELECT t.*, e.Year_of_Disturbance FROM {{sa}} t
                 JOIN {{event_visits}} e ON t.INVYR = e.INVYR AND t.PLT_CN = e.PLT_CN
-                WHERE t.DIA > 5 AND t.INVYR >= 2001)) t
+                WHERE t.DIA > 5 AND t.INVYR >= 1999)) t
     JOIN (SELECT pltID, row_number() OVER (ORDER BY pltID) AS Plot_Num FROM (
             SELECT DISTINCT pltID FROM (
                 SELECT t.pltID FROM {{sa}} t
                 JOIN {{event_visits}} e ON t.INVYR = e.INVYR AND t.PLT_CN = e.PLT_CN
-                WHERE t.DIA > 5 AND t.INVYR >= 2001
+                WHERE t.DIA > 5 AND t.INVYR >= 1999
                 GROUP BY t.pltID, t.INVYR HAVING count(*) >= 5))) n ON n.pltID = t.pltID
     WHERE N_trees >= 5""")
 def _(fx):
-    trees = mortality_check.analysis_trees(sa(fx), fx.fx_visit_mort, min_trees=5)
+    trees = mortality_check.analysis_trees(sa(fx), fx.fx_visit_mort, min_trees=5,
+                                           first_year=1999)
     return rounded(trees.select("TRE_CN", "pltID", "PLT_CN", "INVYR", "Year_of_Disturbance",
                                 "N_trees", "Plot_Num", "DIA"), "DIA")
 

@@ -91,26 +91,26 @@ def _(fx):
 
 _HEXAGONS = {
     "hex_unit": """
-        SELECT *, floor(x0 / wx) * wx - 1e-6 AS bx, floor(y0 / wy) * wy - 1e-6 AS by,
+        SELECT *, floor(x0 / wx) * wx - 1e-6 AS bx, floor(y0 / wy) * wy - 1e-6 AS y_base,
                1 / wx AS cx, 1 / (wy * sqrt(3.0E0)) AS cy
         FROM (SELECT (max(x) - min(x)) / 30 AS wx, (max(y) - min(y)) / 30 AS wy, min(x) AS x0,
                      min(y) AS y0 FROM {points})""",
     "hex_scaled": """
-        SELECT *, cx * (x - bx) AS sx, cy * (y - by) AS sy FROM {points}, {hex_unit}""",
+        SELECT *, cx * (x - bx) AS sx, cy * (y - y_base) AS sy FROM {points}, {hex_unit}""",
     "hex_near": """
         SELECT *, (sx - floor(sx + 0.5)) ** 2 + 3 * (sy - floor(sy + 0.5)) ** 2
                <= (sx - floor(sx) - 0.5) ** 2 + 3 * (sy - floor(sy) - 0.5) ** 2 AS whole
         FROM {hex_scaled}""",
     "hex_placed": """
-        SELECT bx, by, cx, cy, CASE WHEN whole THEN floor(sx + 0.5) ELSE floor(sx) + 0.5 END AS i,
+        SELECT bx, y_base, cx, cy, CASE WHEN whole THEN floor(sx + 0.5) ELSE floor(sx) + 0.5 END AS i,
                CASE WHEN whole THEN floor(sy + 0.5) ELSE floor(sy) + 0.5 END AS j
         FROM {hex_near}""",
 }
 
 
 @query("a13_hexagon_counts", f"""
-    SELECT {r6_sql('bx + i / cx')} AS hex_x, {r6_sql('by + j / cy')} AS hex_y, count(*) AS count
-    FROM {{hex_placed}} GROUP BY bx, by, cx, cy, i, j""", **_HEXAGONS)
+    SELECT {r6_sql('bx + i / cx')} AS hex_x, {r6_sql('y_base + j / cy')} AS hex_y, count(*) AS count
+    FROM {{hex_placed}} GROUP BY bx, y_base, cx, cy, i, j""", **_HEXAGONS)
 def _(fx):
     return rounded(density2d.hexagon_counts(_points(fx)), "hex_x", "hex_y")
 
