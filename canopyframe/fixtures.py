@@ -15,8 +15,6 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem",
 _PLTID = "concat_ws('_', STATECD, UNITCD, COUNTYCD, PLOT)"
 
 STAND_INS = {
-    "sup": "SELECT s_suppkey, s_nationkey, n_regionkey FROM {supplier} "
-           "JOIN {nation} ON s_nationkey = n_nationkey",
     "tree_base": """
         SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
                    year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS CN,
@@ -28,7 +26,8 @@ STAND_INS = {
                CASE l_returnflag WHEN 'N' THEN 2 ELSE 1 END AS STATUSCD,
                l_extendedprice / 1000 AS ACTUALHT, 1 + l_tax * 100 AS TPA_UNADJ,
                l_linestatus, l_discount, l_partkey, l_suppkey, l_shipdate
-        FROM {lineitem} JOIN {sup} ON l_suppkey = s_suppkey""",
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} ON s_nationkey = n_nationkey""",
     "fx_tree": f"""
         SELECT INVYR, CN, CAST(NULL AS VARCHAR(40)) AS PREV_TRE_CN,
                concat_ws(':', {_PLTID}, INVYR) AS PLT_CN, STATUSCD, ACTUALHT, STATECD, UNITCD,
@@ -65,7 +64,8 @@ STAND_INS = {
                     WHEN 4 THEN 40 WHEN 5 THEN 46 WHEN 6 THEN 52 WHEN 7 THEN 80 WHEN 8 THEN 32
                     ELSE 0 END AS DSTRBCD1,
                0 AS DSTRBCD2, CAST(NULL AS INT) AS DSTRBCD3
-        FROM {order_slots} JOIN {sup} ON s_suppkey = slot""",
+        FROM {order_slots} JOIN {supplier} ON s_suppkey = slot
+        JOIN {nation} ON s_nationkey = n_nationkey""",
     "fx_link": """
         SELECT CAST(l_orderkey AS VARCHAR(20)) AS PLT_CN,
                CAST(l_partkey AS VARCHAR(20)) AS FULL_TREE_ID,

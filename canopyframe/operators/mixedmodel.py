@@ -159,25 +159,27 @@ class _System:
             self.yy += cell[moment_name(y, y)]
             self.log_det += cell["log_det"]
 
-    def with_prior(self, regions: _Region | None, car: float, spread: float) -> np.ndarray:
-        a = self.a.copy()
+    def _with_prior(self, region_precisions: np.ndarray | None) -> np.ndarray:
+        """One matrix per entry of ``region_precisions`` (or a single one without regions)."""
+        count = 1 if region_precisions is None else len(region_precisions)
+        a = np.repeat(self.a[None], count, axis=0)
         inner = np.arange(1, self.p)
-        a[inner, inner] += 1.0 / PRIOR_SD ** 2
-        if regions is not None:
-            a[self.p:, self.p:] += regions.precision(car) / spread ** 2
+        a[:, inner, inner] += 1.0 / PRIOR_SD ** 2
+        if region_precisions is not None:
+            a[:, self.p:, self.p:] += region_precisions
         return a
 
-    def log_evidence(self, regions: _Region | None, car: float, spread: float) -> float:
-        lower = np.linalg.cholesky(self.with_prior(regions, car, spread))
-        half = np.linalg.solve(lower, self.b)
-        value = 0.5 * (self.log_det - self.yy + half @ half) - np.log(np.diag(lower)).sum()
-        value -= (self.p - 1) * math.log(PRIOR_SD)
-        if regions is not None:
-            value += 0.5 * (regions.log_det(car) - 2 * len(regions.names) * math.log(spread))
-        return float(value)
-
-    def solve(self, regions: _Region | None, car: float, spread: float):
-        inverse = np.linalg.inv(self.with_prior(regions, car, spread))
+    def log_evidence(self, region_precisions: np.ndarray | None) -> np.ndarray:
+        lower = np.linalg.cholesky(self._with_prior(region_precisions))
+        rhs = np.broadcast_to(self.b[:, None], (len(lower), len(self.b), 1))
+        half = np.linalg.solve(lower, rhs)[..., 0]
+        log_diag = np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1)
+        return (0.5 * (self.log_det - self.yy + (half ** 2).sum(axis=1)) - log_diag
+                - (self.p - 1) * math.log(PRIOR_SD))
+
+    def solve(self, region_precision: np.ndarray | None):
+        one = None if region_precision is None else region_precision[None]
+        inverse = np.linalg.inv(self._with_prior(one)[0])
         return inverse @ self.b, np.diag(inverse)
 
 
@@ -201,21 +203,40 @@ def _sigma_grid(rows: DataFrame, y: str, size: int) -> np.ndarray:
     return np.geomspace(scale / 100.0, scale * 2.0, size)
 
 
-def _log_mass(systems: dict, regions: _Region | None) -> dict:
-    """Unnormalised log posterior over (sigma, sd_plot, car, spread); log-even grids add ln x."""
-    cars = CAR_GRID if regions is not None else (0.0,)
-    spreads = SPREAD_GRID if regions is not None else (1.0,)
-    out = {}
+class _RegionGrid:
+    """The (car, sd_region) grid with its precisions and log priors; one empty point without."""
+
+    def __init__(self, regions: _Region | None):
+        if regions is None:
+            self.points: list = [(None, None)]
+            self.precisions = None
+            self.log_prior = np.zeros(1)
+            return
+        self.points = [(car, spread) for car in CAR_GRID for spread in SPREAD_GRID]
+        self.precisions = np.stack([regions.precision(car) / spread ** 2
+                                    for car, spread in self.points])
+        # Grids even in the logarithm weigh each point with its value.
+        self.log_prior = np.array([
+            0.5 * (regions.log_det(car) - 2 * len(regions.names) * math.log(spread))
+            + _half_t(spread) + math.log(spread) for car, spread in self.points])
+
+    def precision(self, index: int) -> np.ndarray | None:
+        return None if self.precisions is None else self.precisions[index]
+
+
+def _posterior_mass(systems: dict, grid: _RegionGrid) -> dict:
+    """(sigma, sd_plot, index into the region grid) -> posterior mass."""
+    logs = {}
     for (sigma, plot_sd), system in systems.items():
         own = _half_normal(sigma) + math.log(sigma)
         if plot_sd is not None and plot_sd > 0:
             own += _half_t(plot_sd) + math.log(plot_sd)
-        for car in cars:
-            for spread in spreads:
-                prior = own if regions is None else own + _half_t(spread) + math.log(spread)
-                out[sigma, plot_sd, car, spread] = prior + system.log_evidence(
-                    regions, car, spread)
-    return out
+        logs[sigma, plot_sd] = own + grid.log_prior + system.log_evidence(grid.precisions)
+    peak = max(float(v.max()) for v in logs.values())
+    mass = {(*point, i): math.exp(float(x) - peak)
+            for point, values in logs.items() for i, x in enumerate(values)}
+    whole = sum(mass.values())
+    return {k: v / whole for k, v in mass.items()}
 
 
 def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base: str,
@@ -227,6 +248,7 @@ def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base:
     if edges is not None:
         pairs = [(r.region_a, r.region_b) for r in _bounded_collect(edges)]
         regions = _Region(sorted({a for a, _ in pairs}), pairs)
+    region_grid = _RegionGrid(regions)
     for attempt in range(passes):
         cells = _bounded_collect(sums(grid))
         if not cells:
@@ -240,11 +262,7 @@ def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base:
         systems = {point: _System(found, len(covariates), levels,
                                   regions.names if regions else [], region, category)
                    for point, found in by_point.items()}
-        log_mass = _log_mass(systems, regions)
-        peak = max(log_mass.values())
-        mass = {k: math.exp(v - peak) for k, v in log_mass.items()}
-        whole = sum(mass.values())
-        mass = {k: v / whole for k, v in mass.items()}
+        mass = _posterior_mass(systems, region_grid)
         per_sigma = np.array([sum(v for k, v in mass.items() if k[0] == s) for s in grid])
         if sigmas is not None or attempt == passes - 1 or (per_sigma > 0.02).sum() >= 5:
             break
@@ -253,27 +271,29 @@ def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base:
         low = grid[max(held[0] - 1, 0)]
         high = grid[min(held[-1] + 1, len(grid) - 1)]
         grid = np.geomspace(low, high, len(grid))
-    return _summaries(spark, systems, mass, regions, covariates, levels)
+    return _summaries(spark, systems, mass, regions, region_grid, covariates, levels)
 
 
-def _summaries(spark, systems: dict, mass: dict, regions: _Region | None,
+def _summaries(spark, systems: dict, mass: dict, regions: _Region | None, grid: _RegionGrid,
                covariates: Sequence[str], levels: list[str]) -> FittedModel:
     mean = square = None
     for point, p in mass.items():
         if p < 1e-9:
             continue
-        theta, var = systems[point[:2]].solve(regions, point[2], point[3])
+        theta, var = systems[point[:2]].solve(grid.precision(point[2]))
         mean = p * theta if mean is None else mean + p * theta
         square = p * (var + theta ** 2) if square is None else square + p * (var + theta ** 2)
     sd = np.sqrt(np.maximum(square - mean ** 2, 0.0))
     terms = ["Intercept", *covariates, *levels]
     names = regions.names if regions else []
     spread = []
-    for i, name in enumerate(("sigma", "sd_plot", "car", "sd_region")):
-        if (i == 1 and next(iter(mass))[1] is None) or (i > 1 and regions is None):
+    values = {"sigma": lambda k: k[0], "sd_plot": lambda k: k[1],
+              "car": lambda k: grid.points[k[2]][0], "sd_region": lambda k: grid.points[k[2]][1]}
+    for name, value in values.items():
+        if value(next(iter(mass))) is None:
             continue
-        m = sum(p * k[i] for k, p in mass.items())
-        v = sum(p * (k[i] - m) ** 2 for k, p in mass.items())
+        m = sum(p * value(k) for k, p in mass.items())
+        v = sum(p * (value(k) - m) ** 2 for k, p in mass.items())
         spread.append((name, float(m), math.sqrt(v)))
 
     def frame(labels: list[str], start: int, column: str) -> DataFrame:

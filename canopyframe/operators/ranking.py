@@ -78,8 +78,13 @@ def _quantiles_by_range(df: DataFrame, keys: list[str], value: str,
     return ranked.groupBy(*keys).agg(*picks)
 
 
-def _small_and_large(df: DataFrame, keys: list[str], limit: int):
-    """(rows of small groups, rows of large groups or None). One counting job decides."""
+def _small_and_large(df: DataFrame, keys: list[str], limit: int, largest: int | None = None):
+    """(rows of small groups, rows of large groups or None).
+
+    One counting job decides, unless the caller knows the ``largest`` group by construction.
+    """
+    if largest is not None and largest <= limit:
+        return df, None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     if large.isEmpty():
         return df, None
@@ -109,15 +114,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def summarise_groups(df: DataFrame, keys: Sequence[str], value: str,
-                     limit: int = ARRAY_GROUP_ROWS) -> DataFrame:
+                     limit: int = ARRAY_GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """Mean, median, sd, mad, 5 % and 95 % quantile of ``value`` per key.
 
     ``mad`` is scaled by 1.4826. Groups that fit one array need a single shuffle; larger groups
-    are summarised by range sorting, with the same result.
+    are summarised by range sorting, with the same result. ``largest`` states a group size that
+    cannot be exceeded and saves the counting job.
     """
     keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    small, large = _small_and_large(rows, keys, limit)
+    small, large = _small_and_large(rows, keys, limit, largest)
     out = (
         small.groupBy(*keys)
         .agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions.measures import inches_to_cm
 from canopyframe.operators import pareto
+from canopyframe.session import materialize
 
 
 def _in_cm(trees: DataFrame, inches: bool) -> DataFrame:
@@ -30,14 +31,16 @@ def two_part_slopes(trees: DataFrame, x_min: float = pareto.X_MIN, x_max: float
 
 
 def thinned_slopes(trees: DataFrame, x_min: float = pareto.X_MIN, x_max: float = pareto.X_MAX,
-                   inches: bool = True, two_part: bool = True) -> DataFrame:
+                   inches: bool = True, two_part: bool = True,
+                   grid: int = pareto.GRID) -> DataFrame:
     """Summaries of ten thinned draw numbers per plot and variable, with slopes."""
     sized = _in_cm(trees, inches)
     wanted = pareto.thinned_iterations()
+    # The sums are small next to the trees and read twice, for the draws and the tree counts.
     if two_part:
-        sums = pareto.two_part_sums(sized, x_min=x_min, x_max=x_max)
+        sums = materialize(pareto.two_part_sums(sized, x_min=x_min, x_max=x_max))
         draws = pareto.two_part_draws(sums, iterations=wanted, x_min=x_min, x_max=x_max)
     else:
-        sums = pareto.pareto_sums(sized, x_min=x_min)
-        draws = pareto.pareto_draws(sums, iterations=wanted)
-    return pareto.slope_table(pareto.draw_summaries(draws), sums)
+        sums = materialize(pareto.pareto_sums(sized, x_min=x_min))
+        draws = pareto.pareto_draws(sums, iterations=wanted, grid=grid)
+    return pareto.slope_table(pareto.draw_summaries(draws, chains=pareto.CHAINS), sums)

@@ -223,8 +223,8 @@ def _summary_sql(value: str = "value") -> str:
     FROM {{draws}} d JOIN {{sums}} s ON d.PLT_CN = s.PLT_CN GROUP BY d.PLT_CN, iteration""",
        draws=_DRAWS, **_grid_steps("sums"))
 def _(fx):
-    table = pareto.slope_table(pareto.draw_summaries(_draws(fx)),
-                               pareto.pareto_sums(_trees(fx)))
+    table = slopes.thinned_slopes(analysis_table(sa(fx), min_trees=10, number=False),
+                                  two_part=False, grid=_GRID)
     return rounded(table, *_SUMMARY_COLUMNS, "corrected_slope")
 
 
