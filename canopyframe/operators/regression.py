@@ -18,18 +18,29 @@ def complete_points(df: DataFrame, x: str, y: str) -> DataFrame:
                      ).dropna()
 
 
-def regression_sums(points: DataFrame) -> DataFrame:
-    """One row: n, means, centred sums and the least-squares line of ``y`` on ``x``."""
+def _centred_sums(points: DataFrame) -> DataFrame:
     return points.agg(
         F.regr_count("y", "x").alias("n"), F.regr_avgx("y", "x").alias("mean_x"),
-        F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
-        F.regr_sxy("y", "x").alias("sxy"), F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"))
+        F.regr_avgy("y", "x").alias("mean_y"), F.regr_sxx("y", "x").alias("sxx"),
+        F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
+
+
+def regression_sums(points: DataFrame) -> DataFrame:
+    """One row: n, means, centred sums and the least-squares line of ``y`` on ``x``.
+
+    Slope and intercept are NULL when ``x`` does not vary.
+    """
+    return (
+        _centred_sums(points)
+        .withColumn("slope", F.try_divide(F.col("sxy"), F.col("sxx")))
+        .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+    )
 
 
 def with_errors(sums: DataFrame) -> DataFrame:
     """Standard errors, t values, R squared, F and the residual standard error."""
-    rss = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
+    rss = F.when(F.col("slope").isNotNull(),
+                 F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
     r2 = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))
     return (
         sums.withColumn("dof", F.col("n") - 2)
@@ -64,7 +75,9 @@ def residual_quartiles(points: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def correlation(points: DataFrame) -> DataFrame:
-    return points.agg(F.corr("x", "y").alias("correlation"))
+    """Pearson correlation, NULL when one of the variables does not vary."""
+    return _centred_sums(points).select(
+        F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")).alias("correlation"))
 
 
 def fitted_line(points: DataFrame, steps: int = 80, level: float = 0.95) -> DataFrame:

@@ -15,19 +15,23 @@ def _points(fx):
 
 
 _LINE = """
-    SELECT n, mx, sxx, syy, sxy, slope, intercept, dof, sqrt(greatest(syy - slope * sxy, 0) / dof)
-           AS sigma, sxy * sxy / (sxx * syy) AS r2
-    FROM (SELECT regr_count(y, x)::BIGINT AS n, regr_avgx(y, x) AS mx, regr_sxx(y, x) AS sxx,
-                 regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_slope(y, x) AS slope,
-                 regr_intercept(y, x) AS intercept, regr_count(y, x)::BIGINT - 2 AS dof
-          FROM {points})"""
+    SELECT *, my - slope * mx AS intercept,
+           CASE WHEN slope IS NOT NULL
+                THEN sqrt(greatest(syy - slope * sxy, 0) / nullif(dof, 0)) END AS sigma,
+           sxy * sxy / nullif(sxx * syy, 0) AS r2
+    FROM (SELECT *, sxy / nullif(sxx, 0) AS slope, n - 2 AS dof
+          FROM (SELECT regr_count(y, x)::BIGINT AS n, regr_avgx(y, x) AS mx, regr_avgy(y, x) AS my,
+                       regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy
+                FROM {points}))"""
 _LINE_COLUMNS = {
     "slope": "slope", "intercept": "intercept", "sigma": "sigma", "r_squared": "r2",
-    "adj_r_squared": "1 - (1 - r2) * (n - 1) / dof", "slope_se": "sigma / sqrt(sxx)",
-    "intercept_se": "sigma * sqrt(1.0E0 / n + mx * mx / sxx)",
-    "slope_t": "slope / (sigma / sqrt(sxx))",
-    "intercept_t": "intercept / (sigma * sqrt(1.0E0 / n + mx * mx / sxx))",
-    "f_statistic": "(slope / (sigma / sqrt(sxx))) ** 2",
+    "adj_r_squared": "1 - (1 - r2) * (n - 1) / nullif(dof, 0)",
+    "slope_se": "sigma / nullif(sqrt(sxx), 0)",
+    "intercept_se": "sigma * sqrt(1.0E0 / n + mx * mx / nullif(sxx, 0))",
+    "slope_t": "slope / nullif(sigma / nullif(sqrt(sxx), 0), 0)",
+    "intercept_t":
+        "intercept / nullif(sigma * sqrt(1.0E0 / n + mx * mx / nullif(sxx, 0)), 0)",
+    "f_statistic": "(slope / nullif(sigma / nullif(sqrt(sxx), 0), 0)) ** 2",
 }
 
 
@@ -77,13 +81,17 @@ def _(fx):
         regression.regression_sums(_points(fx)))).select("n", "slope_p", "intercept_p")
 
 
+_CORRELATION = r6_sql(
+    "regr_sxy(y, x) / nullif(sqrt(regr_sxx(y, x)) * sqrt(regr_syy(y, x)), 0)")
+
+
 @query("a12_correlation", f"SELECT {r6_sql('corr(y, x)')} AS correlation FROM {{points}}")
 def _(fx):
     return rounded(regression.correlation(_points(fx)), "correlation")
 
 
 @query("a12_mortality_year_correlation",
-       f"SELECT {r6_sql('corr(y, x)')} AS correlation FROM {{event_points}}",
+       f"SELECT {_CORRELATION} AS correlation FROM {{event_points}}",
        event_points=_EVENT_POINTS)
 def _(fx):
     return rounded(regression.correlation(_event_points(fx)), "correlation")

@@ -112,6 +112,14 @@ def test_two_points_have_no_error(spark):
     assert row.slope == 2.0 and row.slope_se is None and row.slope_p is None
 
 
+def test_constant_variable_has_no_line_and_no_correlation(spark):
+    points = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (1.0, 5.0)], "x double, y double")
+    row = regression.with_p_values(regression.with_errors(
+        regression.regression_sums(points))).first()
+    assert row.n == 3 and row.slope is None and row.sigma is None and row.slope_p is None
+    assert regression.correlation(points).first()[0] is None
+
+
 def test_hexagons_hold_every_point_at_its_nearest_centre(spark):
     x, y, points = sample_points(spark, 300)
     cells = density2d.hexagon_counts(points, bins=8).collect()
