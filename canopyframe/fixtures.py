@@ -49,8 +49,8 @@ STAND_INS = {
                CAST(30 + PLOT % 15 AS DOUBLE) AS LAT
         FROM {{plot_visits}}""",
     "order_slots": """
-        SELECT o_orderkey, o_orderdate, o_custkey % n_sup AS slot
-        FROM {orders} CROSS JOIN (SELECT count(*) AS n_sup FROM {supplier}) c""",
+        SELECT o_orderkey, o_orderdate, o_custkey % (SELECT count(*) FROM {supplier}) AS slot
+        FROM {orders}""",
     "fx_cond": """
         SELECT CAST(s_nationkey AS INT) AS STATECD, CAST(n_regionkey AS INT) AS UNITCD,
                CAST(o_orderkey % 3 AS INT) AS COUNTYCD, CAST(s_suppkey AS INT) AS PLOT,

@@ -67,6 +67,7 @@ def kernel_density(points: DataFrame, n: int = 75) -> DataFrame:
 
     Every task reduces its points to one n x n matrix with a matrix product; the matrices are
     added per cell. What is shuffled is n * n numbers per task, independent of the data size.
+    Repeated points, such as pairs of years, are counted once per batch.
     """
     row = points.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
                      F.min("y").alias("y0"), F.max("y").alias("y1"),
@@ -84,19 +85,19 @@ def kernel_density(points: DataFrame, n: int = 75) -> DataFrame:
         for pdf in batches:
             if total is None:
                 total = np.zeros((n, n))
-            ax = np.exp(-0.5 * ((gx[:, None] - pdf["x"].to_numpy()[None, :]) / hx) ** 2)
-            ay = np.exp(-0.5 * ((gy[:, None] - pdf["y"].to_numpy()[None, :]) / hy) ** 2)
-            total += (ax * pdf["copies"].to_numpy()[None, :]) @ ay.T
+            spots = pdf.groupby(["x", "y"], as_index=False).size()
+            ax = np.exp(-0.5 * ((gx[:, None] - spots["x"].to_numpy()[None, :]) / hx) ** 2)
+            ay = np.exp(-0.5 * ((gy[:, None] - spots["y"].to_numpy()[None, :]) / hy) ** 2)
+            total += (ax * spots["size"].to_numpy()[None, :]) @ ay.T
         if total is None:
             return
         i, j = np.indices((n, n))
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "part": total.ravel()})
 
-    spots = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("copies"))
     scale = 1.0 / (row.n * hx * hy * 2 * float(np.pi))
     step_x, step_y = (row.x1 - row.x0) / (n - 1), (row.y1 - row.y0) / (n - 1)
     return (
-        spots.mapInPandas(partial, "i int, j int, part double")
+        points.select("x", "y").mapInPandas(partial, "i int, j int, part double")
         .groupBy("i", "j").agg((F.sum("part") * F.lit(scale)).alias("density"))
         .select((F.lit(row.x0) + F.col("i") * F.lit(step_x)).alias("x"),
                 (F.lit(row.y0) + F.col("j") * F.lit(step_y)).alias("y"), "density")

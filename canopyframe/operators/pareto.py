@@ -34,6 +34,8 @@ GRID = 500
 WIDE_BELOW = 200
 GRID_HALF_WIDTH = 12.0
 
+ZOOM = 4
+
 CHAINS = 4
 KEPT_ITERATIONS = 3000
 
@@ -160,13 +162,16 @@ def two_part_sums(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min:
 
 
 class _TwoPartGrid:
-    """The fixed (tau, alpha_low, alpha_high) grid and the plot-independent terms on it."""
+    """A (tau, alpha_low, alpha_high) grid and the plot-independent terms on it."""
 
-    def __init__(self, x_min: float, x_max: float, taus: int, alphas: int):
-        half = np.arange(1, alphas + 1) - 0.5
+    def __init__(self, x_min: float, x_max: float, taus: int, alphas: int,
+                 low: tuple[float, float] = (0.0, ALPHA_MAX),
+                 high: tuple[float, float] = (0.0, ALPHA_HIGH_MAX)):
+        self.shape = (x_min, x_max, taus, alphas)
+        half = (np.arange(1, alphas + 1) - 0.5) / alphas
         self.tau = x_min + (x_max - x_min) * (np.arange(1, taus + 1) - 0.5) / taus
-        self.low = ALPHA_MAX * half / alphas
-        self.high = ALPHA_HIGH_MAX * half / alphas
+        self.low = low[0] + (low[1] - low[0]) * half
+        self.high = high[0] + (high[1] - high[0]) * half
         t = self.tau[:, None, None]
         lo = self.low[None, :, None]
         hi = self.high[None, None, :]
@@ -194,6 +199,34 @@ class _TwoPartGrid:
         post = np.exp(post - post.max())
         return post / post.sum()
 
+    def refined(self, n: float, scale: float, bins: Sequence, zoom: int):
+        """(grid, weights) with the exponents' ranges narrowed until their cells resolve the mass.
+
+        A plot with very many trees has a posterior narrower than a cell of the full range.
+        """
+        grid, post = self, self.weights(n, scale, bins)
+        for _ in range(zoom):
+            low, narrow_low = _closer(grid.low, post.sum(axis=(0, 2)), ALPHA_MAX)
+            high, narrow_high = _closer(grid.high, post.sum(axis=(0, 1)), ALPHA_HIGH_MAX)
+            if not (narrow_low or narrow_high):
+                break
+            grid = _TwoPartGrid(*self.shape, low, high)
+            post = grid.weights(n, scale, bins)
+        return grid, post
+
+
+def _closer(cells: np.ndarray, weights: np.ndarray, top: float) -> tuple[tuple[float, float], bool]:
+    """The range to evaluate next and whether it is worth narrowing."""
+    step = cells[1] - cells[0]
+    edges = (cells[0] - step / 2, cells[-1] + step / 2)
+    mean = float(cells @ weights)
+    sd = math.sqrt(max(float(((cells - mean) ** 2) @ weights), 0.0))
+    if sd >= 1.5 * step:
+        return edges, False
+    reach = 8 * max(sd, step)
+    wanted = (max(mean - reach, 0.0), min(mean + reach, top))
+    return wanted, wanted[1] - wanted[0] < 0.9 * (edges[1] - edges[0])
+
 
 def _marginal_stats(values: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
     mean = float(values @ weights)
@@ -205,20 +238,22 @@ def _marginal_stats(values: np.ndarray, weights: np.ndarray) -> tuple[float, ...
 
 
 def fit_two_part(sums: DataFrame, plot: str = "PLT_CN", x_min: float = X_MIN,
-                 x_max: float = X_MAX, taus: int = 40, alphas: int = 40) -> DataFrame:
+                 x_max: float = X_MAX, taus: int = 40, alphas: int = 40,
+                 zoom: int = ZOOM) -> DataFrame:
     """Posterior summary of alpha_low, alpha_high and tau per plot, one row per variable.
 
     ``edge_mass`` is the marginal posterior mass in the first and last grid cell: a value near
-    one says that the data do not identify the variable inside its range.
+    one says that the data do not identify the variable inside its range. ``zoom`` limits how
+    often the exponents' grid is narrowed for plots with many trees; 0 keeps the full range.
     """
     kind = dict(sums.dtypes)[plot]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = _TwoPartGrid(x_min, x_max, taus, alphas)
+        whole = _TwoPartGrid(x_min, x_max, taus, alphas)
         for pdf in batches:
             rows = []
             for key, n, w, bins in zip(pdf[plot], pdf["N_Trees"], pdf["W"], pdf["bins"]):
-                post = grid.weights(n, n / w, bins)
+                grid, post = whole.refined(n, n / w, bins, zoom)
                 for name, values, axes in (("alpha_low", grid.low, (0, 2)),
                                            ("alpha_high", grid.high, (0, 1)),
                                            ("tau", grid.tau, (1, 2))):
@@ -328,23 +363,22 @@ def pareto_draws(sums: DataFrame, plot: str = "PLT_CN", iterations: Sequence[int
 def two_part_draws(sums: DataFrame, plot: str = "PLT_CN",
                    iterations: Sequence[int] | None = None, seed: str = "draws",
                    x_min: float = X_MIN, x_max: float = X_MAX, taus: int = 40,
-                   alphas: int = 40) -> DataFrame:
+                   alphas: int = 40, zoom: int = ZOOM) -> DataFrame:
     """Joint posterior draws of alpha_low, alpha_high and tau in the same long layout."""
     kind = dict(sums.dtypes)[plot]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = _TwoPartGrid(x_min, x_max, taus, alphas)
+        whole = _TwoPartGrid(x_min, x_max, taus, alphas)
         chains, its = _draw_keys(iterations)
-        tau, low, high = (g.ravel() for g in np.meshgrid(cells.tau, cells.low, cells.high,
-                                                          indexing="ij"))
 
         def per_plot():
             for pdf in batches:
                 for key, n, w, bins in zip(pdf[plot], pdf["N_Trees"], pdf["W"], pdf["bins"]):
-                    cum = np.cumsum(cells.weights(n, n / w, bins).ravel())
-                    index = _pick(cum, seed, key, chains, its)
-                    yield key, {"alpha_low": low[index], "alpha_high": high[index],
-                                "tau": tau[index]}
+                    grid, post = whole.refined(n, n / w, bins, zoom)
+                    index = _pick(np.cumsum(post.ravel()), seed, key, chains, its)
+                    t, low, high = np.unravel_index(index, post.shape)
+                    yield key, {"alpha_low": grid.low[low], "alpha_high": grid.high[high],
+                                "tau": grid.tau[t]}
 
         yield from _draw_frames(plot, per_plot(), chains, its)
 

@@ -23,11 +23,12 @@ def plot_slopes(trees: DataFrame, x_min: float = pareto.X_MIN, weight: str | Non
 
 def two_part_slopes(trees: DataFrame, x_min: float = pareto.X_MIN, x_max: float = pareto.X_MAX,
                     weight: str | None = None, inches: bool = True, taus: int = 40,
-                    alphas: int = 40) -> DataFrame:
+                    alphas: int = 40, zoom: int = pareto.ZOOM) -> DataFrame:
     """Two-part fit of every plot visit, one row per variable."""
     sums = pareto.two_part_sums(_in_cm(trees, inches), x_min=x_min, x_max=x_max, weight=weight,
                                 taus=taus)
-    return pareto.fit_two_part(sums, x_min=x_min, x_max=x_max, taus=taus, alphas=alphas)
+    return pareto.fit_two_part(sums, x_min=x_min, x_max=x_max, taus=taus, alphas=alphas,
+                               zoom=zoom)
 
 
 def thinned_slopes(trees: DataFrame, x_min: float = pareto.X_MIN, x_max: float = pareto.X_MAX,

@@ -151,7 +151,7 @@ _TWO_PART_STEPS = {
 
 def _two_part(fx):
     return slopes.two_part_slopes(analysis_table(sa(fx), min_trees=10, number=False), taus=_T,
-                                  alphas=_A)
+                                  alphas=_A, zoom=0)
 
 
 @query("m3_two_part_fit", f"""

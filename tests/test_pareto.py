@@ -107,6 +107,18 @@ def test_two_part_recovers_parameters_for_any_partitioning(spark):
                       -(first["a", "alpha_low"]["mean"] + 1))
 
 
+def test_many_trees_narrow_the_exponent_grid(spark):
+    rng = np.random.default_rng(12)
+    xs = two_part_sample(rng, 1.23, 3.87, 30.0, 60_000)
+    sums = pareto.two_part_sums(frame(spark, {"a": xs}))
+    coarse = {r.variable: r for r in pareto.fit_two_part(sums, zoom=0).collect()}
+    fine = {r.variable: r for r in pareto.fit_two_part(sums).collect()}
+    assert coarse["alpha_low"].sd < 0.125
+    for name, truth in (("alpha_low", 1.23), ("alpha_high", 3.87)):
+        assert 0 < fine[name].sd < 0.1 and abs(fine[name]["mean"] - truth) < 0.08, name
+        assert fine[name].edge_mass < 1e-6
+
+
 def test_two_part_grid_equals_pointwise_likelihood(spark):
     rng = np.random.default_rng(6)
     xs = two_part_sample(rng, 1.0, 3.0, 25.0, 80)
