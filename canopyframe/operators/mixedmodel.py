@@ -37,9 +37,18 @@ def moment_name(i: int, j: int) -> str:
     return f"m_{min(i, j)}_{max(i, j)}"
 
 
-def _moments(weight: Column, basis: list[Column]) -> list[Column]:
-    return [F.sum(weight * basis[i] * basis[j]).alias(moment_name(i, j))
-            for i in range(len(basis)) for j in range(i, len(basis))]
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def _moments(basis: list[str]) -> list[Column]:
+    """Sums of w * basis_i * basis_j; one parsed expression each keeps plan building quick."""
+    return [F.expr(f"sum(w * {basis[i]} * {basis[j]})").alias(moment_name(i, j))
+            for i, j in _pairs(len(basis))]
+
+
+def _basis(covariates: Sequence[str], y: str) -> list[str]:
+    return ["1D", *[f"`{c}`" for c in covariates], f"`{y}`"]
 
 
 def _weighted(rows: DataFrame, sigmas: Sequence[float]) -> DataFrame:
@@ -56,11 +65,10 @@ def cross_products(rows: DataFrame, sigmas: Sequence[float], covariates: Sequenc
     and are never computed per row. The sums combine on the map side into at most
     sigmas x regions x categories rows per task.
     """
-    basis = [F.lit(1.0), *[F.col(c) for c in covariates], F.col(y)]
     usable = rows.select(region, category, "error", y, *covariates).dropna()
     return _weighted(usable, sigmas).groupBy("sigma", region, category).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.ln("w")).alias("log_det"),
-        *_moments(F.col("w"), basis))
+        *_moments(_basis(covariates, y)))
 
 
 def plot_cross_products(rows: DataFrame, sigmas: Sequence[float], plot_sds: Sequence[float],
@@ -72,27 +80,22 @@ def plot_cross_products(rows: DataFrame, sigmas: Sequence[float], plot_sds: Sequ
     by a rank-one term and summed over plots. ``mixed`` counts plots that lie in more than one
     region or category, for which the correction would not hold.
     """
-    k = len(covariates) + 2
-    basis = [F.lit(1.0), *[F.col(c) for c in covariates], F.col(y)]
     usable = rows.select(plot, region, category, "error", y, *covariates).dropna()
     per_plot = _weighted(usable, sigmas).groupBy("sigma", plot).agg(
         F.min(region).alias(region), F.min(category).alias(category),
         ((F.min(region) != F.max(region)) | (F.min(category) != F.max(category))).alias("_mixed"),
         F.count(F.lit(1)).alias("n"), F.sum(F.ln("w")).alias("log_det"),
-        *_moments(F.col("w"), basis))
-    variance = F.col("sd_plot") * F.col("sd_plot")
-    inflation = 1 + variance * F.col("m_0_0")
-    shrink = variance / inflation
+        *_moments(_basis(covariates, y)))
+    inflation = "(1 + sd_plot * sd_plot * m_0_0)"
     corrected = [
-        F.sum(F.col(moment_name(i, j))
-              - shrink * F.col(moment_name(0, i)) * F.col(moment_name(0, j)))
-        .alias(moment_name(i, j))
-        for i in range(k) for j in range(i, k)]
+        F.expr(f"sum({moment_name(i, j)} - sd_plot * sd_plot / {inflation} "
+               f"* {moment_name(0, i)} * {moment_name(0, j)})").alias(moment_name(i, j))
+        for i, j in _pairs(len(covariates) + 2)]
     grid = F.array(*[F.lit(float(s)) for s in plot_sds])
     return (
         per_plot.withColumn("sd_plot", F.explode(grid))
         .groupBy("sigma", "sd_plot", region, category)
-        .agg(F.sum("n").alias("n"), F.sum(F.col("log_det") - F.ln(inflation)).alias("log_det"),
+        .agg(F.sum("n").alias("n"), F.expr(f"sum(log_det - ln({inflation}))").alias("log_det"),
              F.count_if("_mixed").alias("mixed"), *corrected)
     )
 

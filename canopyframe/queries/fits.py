@@ -228,6 +228,43 @@ def _(fx):
     return rounded(table, *_SUMMARY_COLUMNS, "corrected_slope")
 
 
+_TWO_PART_DRAWS = {
+    **_TWO_PART_STEPS,
+    "flat": f"""
+        SELECT *, sum(w) OVER (PARTITION BY PLT_CN ORDER BY t, i, j
+                               ROWS UNBOUNDED PRECEDING) AS cum,
+               sum(w) OVER (PARTITION BY PLT_CN) AS total,
+               ((t - 1) * {_A} + i - 1) * {_A} + j AS cell
+        FROM {{weighed}}""",
+    "picked": f"""
+        SELECT PLT_CN, chain, iteration, min(cell) AS cell
+        FROM {{flat}} JOIN (
+            SELECT PLT_CN, chain::INT AS chain, iteration,
+                   ('0x' || substr(md5(concat_ws('|', 'draws', PLT_CN, chain, iteration)), 1, 13))
+                       ::BIGINT / 4503599627370496.0E0 AS u
+            FROM (SELECT DISTINCT PLT_CN FROM {{bins}}), range(1, 5) AS c(chain),
+                 (SELECT unnest([{_ITERATIONS}]) AS iteration)) USING (PLT_CN)
+        WHERE cum >= u * total GROUP BY PLT_CN, chain, iteration""",
+    "two_part_draws": """
+        SELECT PLT_CN, 'alpha_low' AS variable, chain, iteration, lo AS value
+        FROM {picked} JOIN {flat} USING (PLT_CN, cell)
+        UNION ALL SELECT PLT_CN, 'alpha_high', chain, iteration, hi
+        FROM {picked} JOIN {flat} USING (PLT_CN, cell)
+        UNION ALL SELECT PLT_CN, 'tau', chain, iteration, tau
+        FROM {picked} JOIN {flat} USING (PLT_CN, cell)""",
+}
+
+
+@query("m5_two_part_draws", f"""
+    SELECT PLT_CN, variable, chain, iteration, {r6_sql('value')} AS value
+    FROM {{two_part_draws}}""", **_TWO_PART_DRAWS)
+def _(fx):
+    sums = pareto.two_part_sums(_trees(fx), taus=_T)
+    draws = pareto.two_part_draws(sums, iterations=pareto.thinned_iterations(), taus=_T,
+                                  alphas=_A, zoom=0)
+    return rounded(draws, "value")
+
+
 @query("m6_two_part_thinned_slopes")
 def _(fx):
     return slopes.thinned_slopes(analysis_table(sa(fx), min_trees=10, number=False))
