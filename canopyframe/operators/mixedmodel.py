@@ -77,13 +77,12 @@ def plot_cross_products(rows: DataFrame, sigmas: Sequence[float], plot_sds: Sequ
     """The same moments under a random plot intercept, per (sigma, sd_plot, region, category).
 
     Rows are first reduced to one row per plot and sigma; each plot's moments are then corrected
-    by a rank-one term and summed over plots. ``mixed`` counts plots that lie in more than one
-    region or category, for which the correction would not hold.
+    by a rank-one term and summed over plots. Every plot must lie in one region and category
+    (``plots_in_several_cells`` finds those that do not); the text columns are grouping keys, so
+    the aggregate stays hash based.
     """
     usable = rows.select(plot, region, category, "error", y, *covariates).dropna()
-    per_plot = _weighted(usable, sigmas).groupBy("sigma", plot).agg(
-        F.min(region).alias(region), F.min(category).alias(category),
-        ((F.min(region) != F.max(region)) | (F.min(category) != F.max(category))).alias("_mixed"),
+    per_plot = _weighted(usable, sigmas).groupBy("sigma", plot, region, category).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.ln("w")).alias("log_det"),
         *_moments(_basis(covariates, y)))
     inflation = "(1 + sd_plot * sd_plot * m_0_0)"
@@ -96,10 +95,17 @@ def plot_cross_products(rows: DataFrame, sigmas: Sequence[float], plot_sds: Sequ
         per_plot.withColumn("sd_plot", F.explode(grid))
         .groupBy("sigma", "sd_plot", region, category)
         .agg(F.sum("n").alias("n"), F.expr(f"sum(log_det - ln({inflation}))").alias("log_det"),
-             F.count_if("_mixed").alias("mixed"), *corrected)
+             *corrected)
     )
 
 
+def plots_in_several_cells(rows: DataFrame, plot: str, region: str, category: str) -> DataFrame:
+    """Plots whose rows differ in region or category."""
+    cell = F.xxhash64(region, category)
+    return (rows.groupBy(plot).agg(F.min(cell).alias("_low"), F.max(cell).alias("_high"))
+            .filter(F.col("_low") != F.col("_high")).select(plot))
+
+
 # --- bounded algebra on the driver ---------------------------------------------------------------
 
 @dataclass
@@ -256,8 +262,6 @@ def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base:
         cells = _bounded_collect(sums(grid))
         if not cells:
             raise ValueError("no complete row to fit")
-        if any(c.asDict().get("mixed") for c in cells):
-            raise ValueError("a plot lies in more than one region or category")
         levels = levels_after_base({c[category] for c in cells}, base)
         by_point: dict = {}
         for c in cells:
@@ -330,6 +334,12 @@ def fit_region_plot_model(rows: DataFrame, edges: DataFrame | None, covariates:
                           plot_sds: Sequence[float] = PLOT_GRID, passes: int = 3,
                           sigmas: Sequence[float] | None = None) -> FittedModel:
     """``fit_region_model`` with a random intercept per plot."""
+    usable = rows.select(plot, region, category, "error", y, *covariates).dropna()
+    mixed = plots_in_several_cells(usable, plot, region, category).take(5)
+    if mixed:
+        names = ", ".join(str(r[0]) for r in mixed)
+        raise ValueError(f"plots in more than one region or category: {names}")
+
     def sums(grid):
         return plot_cross_products(rows, grid, plot_sds, covariates, category, plot, region, y)
 

@@ -113,7 +113,7 @@ _CORRECTED = ", ".join(
     for i in range(5) for j in range(i, 5))
 
 
-@query("m10_cross_products", "SELECT sigma, sd_plot, region, Actual_Dist, n, mixed, "
+@query("m10_cross_products", "SELECT sigma, sd_plot, region, Actual_Dist, n, "
        + f"{r6_sql('log_det')} AS log_det, " + ", ".join(f"{r6_sql(m)} AS {m}" for m in _K10)
        + " FROM {products}", weighted=_weighted_sql("time_rows"),
        per_plot=f"""
@@ -121,7 +121,7 @@ _CORRECTED = ", ".join(
                   {_moments_sql(['1.0E0', 'Time_Since_Dist', 'log_age', 'log_height', 'y'])}
            FROM {{weighted}} GROUP BY sigma, FINAL_PLT_ID, region, Actual_Dist""",
        products=f"""
-           SELECT sigma, sd_plot, region, Actual_Dist, sum(n)::BIGINT AS n, 0::BIGINT AS mixed,
+           SELECT sigma, sd_plot, region, Actual_Dist, sum(n)::BIGINT AS n,
                   sum(log_det - ln(1 + v * m_0_0)) AS log_det, {_CORRECTED}
            FROM (SELECT *, sd_plot * sd_plot AS v FROM {{per_plot}},
                  (SELECT unnest([{', '.join(f'{s}E0' for s in _PLOT_SDS)}]) AS sd_plot))

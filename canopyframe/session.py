@@ -12,6 +12,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where an aggregate after the join would have reused its partitioning: a hot key costs
+    # one more shuffle then, everyone else none.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Rounds of an iterative job leave the checkpoint folder once nothing refers to them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
