@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +30,25 @@ def with_recommended_conf(builder: SparkSession.Builder) -> SparkSession.Builder
     return builder
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate results, set up on first use.
+
+    Only a session whose executor is the driver itself may fall back to a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
-        return
+        return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="canopyframe-"))
     else:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that every executor can reach; "
             "a machine-local folder would not survive the loss of an executor"
         )
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,5 +57,5 @@ def materialize(df: DataFrame) -> DataFrame:
     Used where a plan must not be evaluated twice with different partition bounds, and between
     the rounds of an iterative job. The copy outlives executors.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
