@@ -245,7 +245,8 @@ def hash_of(word: str) -> int:
 
 def score(model: Model, texts: list[str]) -> np.ndarray:
     """Probability per whole text."""
-    z = model.slope * (best_words(model.weights, texts) + model.bias) + model.offset
+    best = best_words(model.weights, texts).astype(np.float64)
+    z = model.slope * (best + model.bias) + model.offset
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
