@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import language, quality, toxicity
+from canopyframe.llm import contamination, language, quality, recount, toxicity, urls
 from canopyframe.llm.common import table
 from canopyframe.llm.pieces import encode_pieces
 from canopyframe.llm.repair import token_index
@@ -35,11 +35,34 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+
+
+SQL["op4_winnowing"] = contamination.SQL
+
+
+@query
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"), urls.rule_frame(spark, urls.RULES))
+
+
+SQL["op6_url_rules"] = urls.SQL
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data is masked."""
+    return recount.edited_counts(recount.with_mask_edits(table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
