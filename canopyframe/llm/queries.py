@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import contamination, language, quality, recount, repeats, toxicity, urls
+from canopyframe.llm import (contamination, language, neardup, quality, recount, repeats, toxicity,
+                             urls)
 from canopyframe.llm.common import table
 from canopyframe.llm.pieces import encode_pieces
 from canopyframe.llm.repair import token_index
@@ -44,6 +45,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op4_winnowing"] = contamination.SQL
 
 
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"), urls.rule_frame(spark, urls.RULES))
