@@ -28,17 +28,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, th, text): ``i`` is the id (a null one replaced), ``th`` a hash of the text.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          columns: list[str] | None = None) -> DataFrame:
+    """(i, th, text[, extra]): ``i`` is the id (a null one replaced), ``th`` a hash of the text.
 
     Together they identify a document: rows that repeat both are one document and get equal
-    results, rows that share only the id are ordered by ``th``. Other columns are left out, so
-    their names cannot clash.
+    results, rows that share only the id are ordered by ``th``. ``columns`` are carried along in the
+    structure ``extra``; others are left out. So no name can clash.
     """
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"),
-        F.xxhash64(F.col(text_col)).alias("th"),
-        F.col(text_col).alias("text"))
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        F.col(text_col).alias("text"),
+        *([F.struct(*columns).alias("extra")] if columns is not None else []))
 
 
 def id_of(i: str = "i") -> Column:

@@ -133,7 +133,7 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row of ``docs``.
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) per row of ``docs``.
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters from U+0080 on. Every
     span of 13 words that a document shares with an item is found, as both sides keep the smallest
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     rows = _document_rows(docs, benchmark, id_col, text_col, item_col, item_text_col)
     return rows.select(id_of().alias(id_col), "n_words", "n_hit", "n_items", "items_sha256",
-                       "contaminated")
+                       "contaminated", F.col("th").alias("text_hash"))
 
 
 def _document_rows(docs, benchmark, id_col, text_col, item_col, item_text_col) -> DataFrame:

@@ -160,15 +160,20 @@ def sift(rows: DataFrame) -> DataFrame:
 # --- Texts beside what was found in them -------------------------------------------------------
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(i, th, z): texts compressed for the shuffle."""
+    """(i, th, z[, extra]): texts compressed for the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             text = [packer.compress((t.as_py() or "").encode()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["i", "th", "z"])
+                [*batch.columns[:2], pa.array(text, pa.binary()), *batch.columns[3:]],
+                ["i", "th", "z", *batch.schema.names[3:]])
 
-    return docs.mapInArrow(run, "i long, th long, z binary")
+    return docs.mapInArrow(run, "i long, th long, z binary" + _extra(docs))
+
+
+def _extra(docs: DataFrame) -> str:
+    return "".join(f", extra {f.dataType.simpleString()}" for f in docs.schema if f.name == "extra")
 
 
 def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -333,9 +338,10 @@ def later_windows(rows: DataFrame) -> DataFrame:
 
 # --- Results -----------------------------------------------------------------------------------
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, id_col: str, text_col: str,
+              columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     own = keyed(docs, id_col, text_col)
-    return packed(own), materialize(sift(anchor_rows(own)))
+    return packed(keyed(docs, id_col, text_col, columns)), materialize(sift(anchor_rows(own)))
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,11 +374,13 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   bucket_rows: int = BUCKET_ROWS, with_kept: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``.
+                   bucket_rows: int = BUCKET_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept, extra]) per row of ``docs``.
 
     Every byte is removed that lies in a ``LENGTH``-byte string which also starts earlier: in a
-    document of smaller id, or further left in the same one. ``kept`` holds the remaining bytes.
+    document of smaller id, or further left in the same one. With ``columns``, ``kept`` is the text
+    that remains (a character that lost some of its bytes goes altogether) and ``extra`` holds those
+    columns of the row.
 
     Two equal strings have their anchor at the same offset, so they meet in the anchor's bucket.
     There, of anchors whose whole spans are equal only the earliest goes on, and the others lose the
@@ -384,7 +392,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their text, and rows equal in both are one document (each gets its result). Texts shorter than
     ``LENGTH`` lose nothing. Other columns are ignored, an empty table gives an empty result.
     """
-    z, found = _prepared(docs, id_col, text_col)
+    z, found = _prepared(docs, id_col, text_col, columns)
     scanned = materialize(scan(contexts(z, found), bucket_rows))
     spans = (found.filter("kind = 1").select("i", "th", "a", "b")
              .unionByName(scanned.filter(F.col("kind") == ONCE).select("i", "th", "a", "b"))
@@ -410,15 +418,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((len(data), removed, runs, hashlib.sha256(left).hexdigest()))
                 kept.append(left)
             sizes = list(zip(*rows)) if rows else [[]] * 4
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in sizes[:3]),
-                       pa.array(sizes[3], pa.string())]
+            out = [batch.column(0), *(pa.array(c, pa.int64()) for c in sizes[:3]),
+                   pa.array(sizes[3], pa.string())]
             names = ["i", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_kept:
-                columns.append(pa.array(kept, pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if batch.num_columns > 3:
+                out += [pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
+                        batch.column(3)]
+                names += ["kept", "extra"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "i long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = (z.join(own, ["i", "th"], "left").select("i", "z", "spans")
-           .mapInArrow(run, schema + (", kept binary" if with_kept else "")))
+    more = [] if columns is None else ["extra"]
+    if more:
+        schema += ", kept string" + _extra(z)
+    out = z.join(own, ["i", "th"], "left").select("i", "z", "spans", *more).mapInArrow(run, schema)
     return out.withColumn("i", id_of()).withColumnRenamed("i", id_col)
