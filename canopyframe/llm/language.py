@@ -29,10 +29,14 @@ class Model:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each between two blanks, and where each text starts."""
-    points = np.frombuffer("".join(f" {t.lower()} " for t in texts).encode(
+    """Code points of all texts and where each starts.
+
+    There are as many blanks between texts as the longest n-gram has characters, so that no n-gram
+    sees another text's letters.
+    """
+    points = np.frombuffer("".join(f"  {t.lower()} " for t in texts).encode(
         "utf-32-le", "surrogatepass"), "<u4")
-    ends = np.cumsum([0] + [len(t.lower()) + 2 for t in texts])
+    ends = np.cumsum([0] + [len(t.lower()) + 3 for t in texts])
     # ASCII characters that are no letters say nothing about a language.
     plain = points < 128
     letter = (points >= 97) & (points <= 122)
