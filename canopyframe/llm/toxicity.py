@@ -6,6 +6,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from sys import intern
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,11 @@ from canopyframe.llm.common import fold_of
 DECAY = 0.6                # weight of one skipped character
 ORDERS = ((3, 4), (4, 4))  # (characters of a subsequence, places it may span beyond its first)
 TABLE_BITS = 20            # subsequences are hashed to 2**20 places
-LANDMARKS = 384
-TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 6_000      # bounds of the training sample
-CLEAN_WORDS = 40_000       # distinct clean words that the machine is trained against
+LANDMARKS = 400
+TRAIN_TOXIC, TRAIN_CLEAN = 2_500, 5_000      # bounds of the training sample
+CLEAN_WORDS = 16_000       # distinct clean words that the machine is first trained against
+HARD_WORDS = 4_000         # best-scoring clean words that each round adds to them
+TRAIN_ROUNDS = 5
 BLOCK_CHARS = 1 << 18
 MARK = 63                  # opens every word
 
@@ -61,7 +65,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     single = np.zeros(n + 2, bool)          # a blank followed by exactly one letter
     single[:n] = space[:n] & ~space[1:n + 1] & space[2:n + 2]
     joined = np.zeros(n, bool)
-    joined[2:] = single[2:n] & single[:n - 2]
+    joined[2:] = single[2:n] & single[:max(n - 2, 0)]
     keep = ~(joined & ~first)
     codes, first = codes[keep], first[keep]
     word = np.cumsum(codes == MARK) - 1
@@ -136,25 +140,34 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 1.0)
+    size = x.shape[1] + 1
+    w, ridge = np.zeros(size), np.full(size, 1.0)
     ridge[-1] = 1e-3
 
-    def loss(w):
-        return (ridge * w * w).sum() + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    def margins(w):
+        return y * (x @ w[:-1].astype(np.float32) + w[-1])
 
+    def loss(w, m):
+        return (ridge * w * w).sum() + (cost * np.maximum(0, 1 - m) ** 2).sum()
+
+    margin = margins(w)
     for _ in range(30):
-        margin = y * (x @ w)
-        active = margin < 1
-        xa, ca = x[active], cost[active]
-        gradient = ridge * w - xa.T @ (ca * y[active] * (1 - margin[active]))
-        step = np.linalg.solve(np.diag(ridge) + (xa * ca[:, None]).T @ xa, gradient)
-        size, now = 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-6:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-6:
+        active = np.flatnonzero(margin < 1)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for at in range(0, len(active), 4096):      # a few rows at a time: memory stays small
+            k = active[at:at + 4096]
+            part = np.hstack([x[k], np.ones((len(k), 1), np.float32)]).astype(np.float64)
+            gradient = gradient - part.T @ (cost[k] * y[k] * (1 - margin[k]))
+            hessian = hessian + (part * cost[k][:, None]).T @ part
+        step = np.linalg.solve(hessian, gradient)
+        now = loss(w, margin)
+        for _ in range(20):
+            fresh = margins(w - step)
+            if loss(w - step, fresh) <= now:
+                break
+            step = step / 2
+        w, margin = w - step, fresh
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -184,12 +197,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for the curve that turns the best word's margin into a probability.
     """
     y = np.array(toxic)
-    vocab = [sorted({w.strip(".,;:!?\"'()[]#*$%&|<>") for w in t.lower().split()}) for t in texts]
     train = [k for k in range(len(texts)) if k % 5 != 4]
     held = [k for k in range(len(texts)) if k % 5 == 4]
     bad, good = Counter(), Counter()
+    vocab: dict[int, list[str]] = {}
     for k in train:
-        (bad if y[k] else good).update(vocab[k])
+        own = {intern(w.strip(".,;:!?\"'()[]#*$%&|<>")) for w in texts[k].lower().split()}
+        (bad if y[k] else good).update(own)
+        if y[k]:
+            vocab[k] = sorted(own)
     share = max(1e-6, y[train].mean())
     # A word that only toxic texts have by chance would have to win this often in a row.
     least = max(2, int(np.ceil(8 / -np.log(min(share, 0.9)))))
@@ -199,10 +215,10 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         prior = np.clip(share, 0.01, 0.49)
         return Model(np.zeros(1 << TABLE_BITS), 0.0, 0.0, float(np.log(prior / (1 - prior))))
     model, hard = None, []
-    for _ in range(3):
+    for _ in range(TRAIN_ROUNDS):
         ranked = sorted(witness, key=lambda w: (-bad[w], w))
         half = LANDMARKS // 2
-        landmarks = ranked[:half] + hard[:half // 2]
+        landmarks = ranked[:half] + hard[-HARD_WORDS:][:half // 2]
         landmarks += clean[:LANDMARKS - len(landmarks)]
         positives = ranked[:4 * LANDMARKS]
         words = positives + clean + hard
@@ -211,7 +227,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         values, vectors = np.linalg.eigh(k_mm * scale * scale[:, None])
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = (kernel(words, landmarks) * scale) @ root
+        x = kernel(words, landmarks) @ (scale[:, None] * root).astype(np.float32)
         label = np.r_[np.ones(len(positives)), -np.ones(len(clean) + len(hard))]
         cost = np.r_[np.full(len(positives), 1.0), np.full(len(clean) + len(hard), 0.3)]
         w = _machine(x, label, cost)
@@ -222,7 +238,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         np.add.at(weights, keys, gains * c[rows])
         model = Model(weights, float(w[-1]), 1.0, 0.0)
         for k in train:
-            if y[k] and vocab[k] and not witness.intersection(vocab[k]):
+            if y[k] and not witness.intersection(vocab[k]):
                 fresh = [v for v in vocab[k] if v and not good[v]]
                 if fresh:
                     scores = best_words(weights, fresh) + model.bias
@@ -231,7 +247,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         others = [v for v in good if v]
         scores = np.concatenate([best_words(weights, others[a:a + 5000])
                                  for a in range(0, len(others), 5000)])
-        hard = [others[k] for k in np.argsort(-scores, kind="stable")[:CLEAN_WORDS // 10]]
+        held_already = set(hard)
+        hard += [w for w in (others[k] for k in np.argsort(-scores, kind="stable")[:HARD_WORDS])
+                 if w not in held_already]
     kept = held if len(set(y[held])) == 2 else list(range(len(texts)))
     best = np.array([best_words(model.weights, [texts[k]])[0] for k in kept]) + model.bias
     model.slope, model.offset = _logistic(best, y[kept])
@@ -239,7 +257,6 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def hash_of(word: str) -> int:
-    from zlib import crc32
     return crc32(word.encode("utf-8", "surrogatepass"))
 
 
