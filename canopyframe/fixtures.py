@@ -67,10 +67,8 @@ STAND_INS = {
         FROM {order_slots} JOIN {supplier} ON s_suppkey = slot
         JOIN {nation} ON s_nationkey = n_nationkey""",
     "fx_link": """
-        SELECT CAST(l_orderkey AS VARCHAR(20)) AS PLT_CN,
-               CAST(l_partkey AS VARCHAR(20)) AS FULL_TREE_ID,
-               CAST(year(l_shipdate) + 4 AS INT) AS INVYR
-        FROM {lineitem} WHERE l_linenumber = 1 AND l_discount <= 0.02""",
+        SELECT PLT_CN, concat_ws('/', l_suppkey, l_partkey) AS FULL_TREE_ID, INVYR
+        FROM {fx_chain}""",
     "mort_base": """
         SELECT l_suppkey AS supp, CAST(year(l_shipdate) + 4 AS INT) AS YEAR,
                100 * avg(CASE l_returnflag WHEN 'N' THEN 1.0E0 ELSE 0.0E0 END) AS perc

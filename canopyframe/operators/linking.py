@@ -17,8 +17,6 @@ from canopyframe.session import materialize
 # A node holding more than 1 / HOT_SHARE of all links is looked up through a broadcast. There can
 # be at most HOT_SHARE such nodes, so the broadcast is bounded whatever the size of the graph.
 HOT_SHARE = 1000
-# Under this many links no single node can overload a task and the hot-node step is skipped.
-HOT_FROM_LINKS = 1_000_000
 
 
 def identified_trees(tree: DataFrame, identity: DataFrame) -> DataFrame:
@@ -57,12 +55,10 @@ def shared_tree_pairs(visits: DataFrame) -> DataFrame:
     )
 
 
-def _with_parent(links: DataFrame, side: str, total: int, hot_from: int) -> DataFrame:
+def _with_parent(links: DataFrame, side: str, total: int) -> DataFrame:
     """Links with ``up``, the smallest neighbour below the node in ``side`` (NULL if none)."""
     parents = links.groupBy("hi").agg(F.min("lo").alias("up")).withColumnRenamed("hi", "_node")
     match = F.col(side) == F.col("_node")
-    if total < hot_from:
-        return links.join(parents, match, "left").drop("_node")
     hot = (links.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > total / HOT_SHARE).select(side))
     hot_parents = hot.join(parents, match, "left").select(side, "up")
@@ -71,23 +67,23 @@ def _with_parent(links: DataFrame, side: str, total: int, hot_from: int) -> Data
     return heavy.unionByName(light.select("hi", "lo", "up"))
 
 
-def _star_round(links: DataFrame, total: int, hot_from: int) -> DataFrame:
+def _star_round(links: DataFrame, total: int) -> DataFrame:
     # Large star: every node above ``lo`` is moved to the smallest neighbour of ``lo``.
-    large = _with_parent(links, "lo", total, hot_from).select(
+    large = _with_parent(links, "lo", total).select(
         "hi", F.coalesce("up", "lo").alias("lo"))
     # Small star: all smaller neighbours of a node, and the node itself, move to the smallest.
-    sideways = _with_parent(large, "hi", total, hot_from).filter(F.col("lo") != F.col("up")).select(
+    sideways = _with_parent(large, "hi", total).filter(F.col("lo") != F.col("up")).select(
         F.col("lo").alias("hi"), F.col("up").alias("lo"))
     return large.groupBy("hi").agg(F.min("lo").alias("lo")).unionByName(sideways).distinct()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, node: str = "node",
-                         component: str = "component", max_rounds: int = 100,
-                         hot_from: int = HOT_FROM_LINKS) -> DataFrame:
+                         component: str = "component", max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
     Each round is written to the checkpoint folder, so neither the lineage nor the loss of an
-    executor makes earlier rounds run again.
+    executor makes earlier rounds run again. The number of rounds grows with the logarithm of the
+    graph; ``max_rounds`` only stops a run that would never settle, with an error.
     """
     oriented = edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
@@ -96,7 +92,7 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node",
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        links = materialize(_star_round(links, state[0], hot_from))
+        links = materialize(_star_round(links, state[0]))
         before, state = state, _fingerprint(links)
         if state == before:
             break
@@ -112,11 +108,10 @@ def _fingerprint(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def plot_components(rows: DataFrame, after_year: int = 2001, dense: bool = False,
-                    hot_from: int = HOT_FROM_LINKS) -> DataFrame:
+def plot_components(rows: DataFrame, after_year: int = 2001, dense: bool = False) -> DataFrame:
     """``PLT_CN`` -> ``new_plot_ID``: the smallest linked visit, or 1, 2, ... with ``dense``."""
     links = visit_links(tree_visits(rows, after_year))
-    found = connected_components(links, "hi", "lo", "PLT_CN", "new_plot_ID", hot_from=hot_from)
+    found = connected_components(links, "hi", "lo", "PLT_CN", "new_plot_ID")
     if not dense:
         return found
     numbers = number_distinct(found, "new_plot_ID", "_number")
@@ -138,11 +133,10 @@ def attach_components(rows: DataFrame, components: DataFrame, first_year: int =
     return out
 
 
-def tree_identity(tree: DataFrame, hot_from: int = HOT_FROM_LINKS) -> DataFrame:
+def tree_identity(tree: DataFrame) -> DataFrame:
     """``CN`` -> ``FULL_TREE_ID`` from the chain of previous record keys."""
     keys = tree.select(F.col("CN").cast("string").alias("CN"),
                        F.col("PREV_TRE_CN").cast("string").alias("PREV_TRE_CN"))
-    chains = connected_components(keys.dropna(), "CN", "PREV_TRE_CN", "CN", "_tree",
-                                  hot_from=hot_from)
+    chains = connected_components(keys.dropna(), "CN", "PREV_TRE_CN", "CN", "_tree")
     return keys.select("CN").join(chains, on="CN", how="left").select(
         "CN", F.coalesce("_tree", "CN").alias("FULL_TREE_ID"))

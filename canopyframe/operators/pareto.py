@@ -29,10 +29,11 @@ X_MAX = 50.0
 ALPHA_MAX = 5.0
 ALPHA_HIGH_MAX = 10.0
 GRID = 500
-# Below this many trees the posterior may be wide or skewed and the grid spans all of (0, 5);
-# from it on the grid spans 12 standard deviations around the likelihood's peak.
-WIDE_BELOW = 200
+# The grid spans 12 standard deviations around the likelihood's peak, and 40 / n of the peak more
+# above it, where the likelihood of a few trees falls off as exp(-alpha * S) only. Beyond that the
+# posterior has no mass worth a digit, whatever the number of trees.
 GRID_HALF_WIDTH = 12.0
+GRID_TAIL = 40.0
 
 ZOOM = 4
 
@@ -74,9 +75,8 @@ def _grid_edges(n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(divide="ignore"):
         peak = np.minimum(n / s, ALPHA_MAX)
     reach = GRID_HALF_WIDTH * peak / np.sqrt(n)
-    wide = n < WIDE_BELOW
-    return (np.where(wide, 0.0, np.maximum(peak - reach, 0.0)),
-            np.where(wide, ALPHA_MAX, np.minimum(peak + reach, ALPHA_MAX)))
+    return (np.maximum(peak - reach, 0.0),
+            np.minimum(peak + reach + GRID_TAIL * peak / n, ALPHA_MAX))
 
 
 def _posterior_cells(n: np.ndarray, s: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,12 @@ def _plot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[start:start + _PLOTS_PER_BLOCK]
 
 
+def _spread(sums: DataFrame, plot: str) -> DataFrame:
+    """Sums are a few bytes per plot, but each means a grid or thousands of draws, so their
+    partitions must not be merged by size."""
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), plot)
+
+
 def fit_pareto(sums: DataFrame, plot: str = "PLT_CN", grid: int = GRID) -> DataFrame:
     """Posterior summary of the exponent per plot, from ``pareto_sums``.
 
@@ -128,7 +134,7 @@ def fit_pareto(sums: DataFrame, plot: str = "PLT_CN", grid: int = GRID) -> DataF
                 "alpha_mean": mean, "alpha_sd": np.sqrt(var), "q5": quantile(0.05),
                 "median": quantile(0.5), "q95": quantile(0.95)})
 
-    fitted = sums.select(plot, "N_Trees", "S").mapInPandas(
+    fitted = _spread(sums, plot).select(plot, "N_Trees", "S").mapInPandas(
         fit, f"{plot} {kind}, N_Trees long, S double, alpha_mean double, alpha_sd double, "
              "q5 double, median double, q95 double")
     return (fitted.withColumn("alpha_mle", F.try_divide(F.col("N_Trees"), F.col("S")))
@@ -356,7 +362,7 @@ def pareto_draws(sums: DataFrame, plot: str = "PLT_CN", iterations: Sequence[int
 
         yield from _draw_frames(plot, per_plot(), chains, its)
 
-    return sums.select(plot, "N_Trees", "S").mapInPandas(
+    return _spread(sums, plot).select(plot, "N_Trees", "S").mapInPandas(
         draw, f"{plot} {kind}, variable string, chain int, iteration int, value double")
 
 
@@ -403,7 +409,7 @@ def draw_summaries(draws: DataFrame, plot: str = "PLT_CN",
     ``chains`` is the number of rows per group where it is known, as for draws made here.
     """
     keys = [plot, "variable", "iteration"]
-    return summarise_groups(draws, keys, "value", largest=chains).withColumn(
+    return summarise_groups(draws, keys, "value", fixed_size=chains).withColumn(
         "multbayesnumber", F.lit(1).cast("int"))
 
 

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from canopyframe.functions.measures import quantile_of_sorted
 from canopyframe.session import materialize
 
-# Groups up to this many rows are ordered as one array; larger ones take the range path.
-ARRAY_GROUP_ROWS = 50_000
-
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row below bit 33
 
 
@@ -78,54 +75,29 @@ def _quantiles_by_range(df: DataFrame, keys: list[str], value: str,
     return ranked.groupBy(*keys).agg(*picks)
 
 
-def _small_and_large(df: DataFrame, keys: list[str], limit: int, largest: int | None = None):
-    """(rows of small groups, rows of large groups or None).
-
-    One counting job decides, unless the caller knows the ``largest`` group by construction.
-    """
-    if largest is not None and largest <= limit:
-        return df, None
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    if large.isEmpty():
-        return df, None
-    large = large.select(*keys)
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    limit: int = ARRAY_GROUP_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                    probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key, one column per entry of ``probs``.
 
     NULL values are skipped. Without ``keys`` the result is one row for the whole table.
     """
-    keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    if not keys:
-        return _quantiles_by_range(rows, [], value, probs)
-    small, large = _small_and_large(rows, keys, limit)
-    out = (
-        small.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-        .select(*keys, *[
-            quantile_of_sorted(F.col("_v"), F.size("_v"), p).alias(n) for n, p in probs.items()])
-    )
-    if large is not None:
-        out = out.unionByName(_quantiles_by_range(large, keys, value, probs))
-    return out
+    return _quantiles_by_range(rows, list(keys), value, probs)
 
 
 def summarise_groups(df: DataFrame, keys: Sequence[str], value: str,
-                     limit: int = ARRAY_GROUP_ROWS, largest: int | None = None) -> DataFrame:
+                     fixed_size: int | None = None) -> DataFrame:
     """Mean, median, sd, mad, 5 % and 95 % quantile of ``value`` per key.
 
-    ``mad`` is scaled by 1.4826. Groups that fit one array need a single shuffle; larger groups
-    are summarised by range sorting, with the same result. ``largest`` states a group size that
-    cannot be exceeded and saves the counting job.
+    ``mad`` is scaled by 1.4826. Groups are summarised by range sorting. ``fixed_size`` states that
+    no group can have more rows by construction (one per chain, say); each is then one array.
     """
     keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    small, large = _small_and_large(rows, keys, limit, largest)
-    out = (
-        small.groupBy(*keys)
+    if fixed_size is None:
+        return _summarised_by_range(rows, keys, value)
+    return (
+        rows.groupBy(*keys)
         .agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
              F.array_sort(F.collect_list(value)).alias("_v"))
         .withColumn("_n", F.size("_v"))
@@ -136,17 +108,17 @@ def summarise_groups(df: DataFrame, keys: Sequence[str], value: str,
                 quantile_of_sorted(F.col("_v"), F.col("_n"), 0.05).alias("q5"),
                 quantile_of_sorted(F.col("_v"), F.col("_n"), 0.95).alias("q95"))
     )
-    if large is None:
-        return out
-    moments = large.groupBy(*keys).agg(F.avg(value).alias("mean"),
-                                       F.stddev_samp(value).alias("sd"))
-    spots = _quantiles_by_range(large, keys, value, {"q5": 0.05, "median": 0.5, "q95": 0.95})
-    distances = large.join(spots.select(*keys, "median"), keys).select(
+
+
+def _summarised_by_range(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    moments = rows.groupBy(*keys).agg(F.avg(value).alias("mean"),
+                                      F.stddev_samp(value).alias("sd"))
+    spots = _quantiles_by_range(rows, keys, value, {"q5": 0.05, "median": 0.5, "q95": 0.95})
+    distances = rows.join(spots.select(*keys, "median"), keys).select(
         *keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
     mads = _quantiles_by_range(distances, keys, "_d", {"_mad": 0.5})
-    big = moments.join(spots, keys).join(mads, keys).select(
+    return moments.join(spots, keys).join(mads, keys).select(
         *keys, "mean", "median", "sd", (F.lit(1.4826) * F.col("_mad")).alias("mad"), "q5", "q95")
-    return out.unionByName(big)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -17,7 +17,7 @@ def _trees(fx):
         "DIA", inches_to_cm(F.col("DIA")))
 
 
-_GRID = 200
+_GRID = pareto.GRID
 
 
 def _sums_sql(source: str, weight: str | None = None) -> str:
@@ -42,10 +42,8 @@ def _grid_steps(sums: str) -> dict[str, str]:
     return {
         **_STEPS,
         "edges": f"""
-            SELECT *, CASE WHEN n < 200 THEN 0.0E0
-                           ELSE greatest({peak} - 12 * {peak} / sqrt(n), 0) END AS lo,
-                   CASE WHEN n < 200 THEN 5.0E0
-                        ELSE least({peak} + 12 * {peak} / sqrt(n), 5) END AS hi
+            SELECT *, greatest({peak} - 12 * {peak} / sqrt(n), 0) AS lo,
+                   least({peak} + 12 * {peak} / sqrt(n) + 40.0E0 * {peak} / n, 5) AS hi
             FROM {{{sums}}}""",
         "cells": f"""
             SELECT PLT_CN, n, s, k, a, exp(lw - max(lw) OVER (PARTITION BY PLT_CN)) AS w

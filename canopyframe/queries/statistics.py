@@ -175,5 +175,5 @@ def _(fx):
     SELECT STATECD, {r6_sql('quantile_cont(ACTUALHT, 0.1)')} AS q10,
            {r6_sql('quantile_cont(ACTUALHT, 0.5)')} AS q50 FROM {{fx_tree}} GROUP BY STATECD""")
 def _(fx):
-    out = exact_quantiles(fx.fx_tree, ["STATECD"], "ACTUALHT", {"q10": 0.1, "q50": 0.5}, limit=1000)
+    out = exact_quantiles(fx.fx_tree, ["STATECD"], "ACTUALHT", {"q10": 0.1, "q50": 0.5})
     return rounded(out, "q10", "q50")

@@ -28,12 +28,11 @@ def components(spark, edges, **options):
     return as_dict(linking.connected_components(df, "a", "b", **options), "node", "component")
 
 
-@pytest.mark.parametrize("hot_from", [linking.HOT_FROM_LINKS, 0])
-def test_random_graph_with_a_hub(spark, hot_from):
+def test_random_graph_with_a_hub(spark):
     rng = random.Random(11)
     edges = [(f"n{rng.randrange(400):03d}", f"n{rng.randrange(400):03d}") for _ in range(150)]
     edges += [("n150", f"m{i}") for i in range(120)] + [("x", "x")]
-    assert components(spark, edges, hot_from=hot_from) == brute_components(edges)
+    assert components(spark, edges) == brute_components(edges)
 
 
 def test_long_chain_settles_in_few_rounds(spark):

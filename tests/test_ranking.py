@@ -21,12 +21,11 @@ def test_range_quantiles_equal_numpy_with_one_hot_key(spark):
     rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("hot", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(8)
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
-    for limit in (1, 100, 10_000):
-        got = {r.k: r for r in ranking.exact_quantiles(df, ["k"], "v", probs, limit).collect()}
-        assert set(got) == set(values)
-        for k, vs in values.items():
-            for name, p in probs.items():
-                assert np.isclose(got[k][name], np.quantile(vs, p)), (limit, k, name)
+    got = {r.k: r for r in ranking.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        for name, p in probs.items():
+            assert np.isclose(got[k][name], np.quantile(vs, p)), (k, name)
     whole = ranking.exact_quantiles(df, [], "v", {"m": 0.5}).first()
     assert np.isclose(whole.m, np.median(np.concatenate(list(values.values()))))
 
@@ -35,8 +34,8 @@ def test_group_summaries_agree_on_both_paths(spark):
     rng = np.random.default_rng(5)
     rows = [(f"g{i % 7}", float(v)) for i, v in enumerate(rng.normal(size=900))] + [("one", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    small = {r.g: r for r in ranking.summarise_groups(df, ["g"], "v").collect()}
-    large = {r.g: r for r in ranking.summarise_groups(df, ["g"], "v", limit=5).collect()}
+    small = {r.g: r for r in ranking.summarise_groups(df, ["g"], "v", fixed_size=900).collect()}
+    large = {r.g: r for r in ranking.summarise_groups(df, ["g"], "v").collect()}
     assert set(small) == set(large)
     for g, a in small.items():
         for name in ("mean", "median", "sd", "mad", "q5", "q95"):
