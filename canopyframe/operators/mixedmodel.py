@@ -7,7 +7,8 @@
 
 ``l`` integrates out and leaves the weight 1 / (sigma^2 + error^2). For given variance parameters
 everything else depends on the data only through weighted cross-products per (region, category),
-which Spark sums for a small grid of sigmas in one pass. What reaches the driver is a table of
+which Spark sums for a small grid of sigmas in one pass. The grids start on the scale of the response
+and are moved, widened and narrowed until they resolve the posterior. What reaches the driver is a table of
 grid x regions x categories sums, whose size does not depend on the number of rows and is checked;
 the remaining algebra has one unknown per coefficient and region.
 """
@@ -28,9 +29,12 @@ MAX_CELLS = 500_000
 PRIOR_SD = 5.0
 SIGMA_PRIOR_SD = 2.0
 HALF_T_DOF, HALF_T_SCALE = 3.0, 2.5
-SPREAD_GRID = tuple(np.geomspace(0.01, 5.0, 12))
-CAR_GRID = tuple((np.arange(1, 11) - 0.5) / 10)
-PLOT_GRID = tuple(np.geomspace(0.01, 2.0, 8))
+SPREAD_POINTS, PLOT_POINTS = 14, 12
+CAR_GRID = tuple((np.arange(1, 21) - 0.5) / 20)     # (0, 1) has no wider range to look at
+# An axis is resolved once so many of its points hold over RESOLVED_SHARE of the mass each and
+# neither end holds more than EDGE_SHARE.
+RESOLVED_POINTS, RESOLVED_SHARE, EDGE_SHARE = 5, 0.02, 0.01
+MOST_ROUNDS = 40            # of moving the axes; a fit that isn't resolved by then raises
 
 
 def moment_name(i: int, j: int) -> str:
@@ -116,6 +120,15 @@ class FittedModel:
     regions: DataFrame
     spread: DataFrame
 
+    def table(self) -> DataFrame:
+        """Everything in one table: (part, name, mean, sd)."""
+        parts = {"coefficient": self.coefficients, "region": self.regions, "spread": self.spread}
+        rows = None
+        for part, df in parts.items():
+            own = df.toDF("name", "mean", "sd").select(F.lit(part).alias("part"), "name", "mean", "sd")
+            rows = own if rows is None else rows.unionByName(own)
+        return rows
+
 
 class _Region:
     """Adjacency of the regions, with the determinant of D - aA from one eigenproblem."""
@@ -207,21 +220,36 @@ def _bounded_collect(df: DataFrame) -> list:
     return rows
 
 
-def _sigma_grid(rows: DataFrame, y: str, size: int) -> np.ndarray:
-    scale = rows.agg(F.stddev_samp(y)).first()[0] or 1.0
-    return np.geomspace(scale / 100.0, scale * 2.0, size)
+def _moved(axis: np.ndarray, mass: np.ndarray) -> np.ndarray | None:
+    """The next points of a logarithmic axis, or None if these resolve the mass.
+
+    An end that holds mass is moved outwards; mass on too few points is looked at more closely.
+    """
+    ratio = axis[1] / axis[0]
+    low, high = axis[0], axis[-1]
+    if mass[0] > EDGE_SHARE or mass[-1] > EDGE_SHARE:
+        # As many steps as would take in the mass if it fell off from here like the axis is wide.
+        reach = max(ratio ** (len(axis) // 2), 1.05)
+        held = np.flatnonzero(mass > 1e-6)
+        low = low / reach if mass[0] > EDGE_SHARE else axis[max(held[0] - 1, 0)]
+        high = high * reach if mass[-1] > EDGE_SHARE else axis[min(held[-1] + 1, len(axis) - 1)]
+        return np.geomspace(low, high, len(axis))
+    if (mass > RESOLVED_SHARE).sum() >= RESOLVED_POINTS:
+        return None
+    held = np.flatnonzero(mass > 1e-3)
+    return np.geomspace(axis[max(held[0] - 1, 0)], axis[min(held[-1] + 1, len(axis) - 1)], len(axis))
 
 
 class _RegionGrid:
     """The (car, sd_region) grid with its precisions and log priors; one empty point without."""
 
-    def __init__(self, regions: _Region | None):
+    def __init__(self, regions: _Region | None, spreads: np.ndarray):
         if regions is None:
             self.points: list = [(None, None)]
             self.precisions = None
             self.log_prior = np.zeros(1)
             return
-        self.points = [(car, spread) for car in CAR_GRID for spread in SPREAD_GRID]
+        self.points = [(car, spread) for car in CAR_GRID for spread in map(float, spreads)]
         self.precisions = np.stack([regions.precision(car) / spread ** 2
                                     for car, spread in self.points])
         # Grids even in the logarithm weigh each point with its value.
@@ -248,37 +276,66 @@ def _posterior_mass(systems: dict, grid: _RegionGrid) -> dict:
     return {k: v / whole for k, v in mass.items()}
 
 
+def _axis_mass(mass: dict, axis: np.ndarray, of) -> np.ndarray:
+    total = dict.fromkeys(map(float, axis), 0.0)
+    for point, p in mass.items():
+        total[float(of(point))] += p
+    return np.array(list(total.values()))
+
+
 def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base: str,
-         edges: DataFrame | None, region: str, y: str, sigma_points: int, passes: int,
-         sigmas: Sequence[float] | None) -> FittedModel:
+         edges: DataFrame | None, region: str, y: str, sigma_points: int,
+         sigmas: Sequence[float] | None, plot_sds: Sequence[float] | None,
+         with_plots: bool) -> FittedModel:
+    """Moves the sigma, plot and region axes until all are resolved; given axes stay as they are.
+
+    One scan of ``rows`` for every new sigma or plot axis; the region axis needs none.
+    """
     spark = rows.sparkSession
-    grid = np.asarray(sigmas) if sigmas is not None else _sigma_grid(rows, y, sigma_points)
+    scale = rows.agg(F.stddev_samp(y)).first()[0] or 1.0
+    sigma = np.asarray(sigmas, float) if sigmas is not None else np.geomspace(
+        scale / 100.0, scale * 2.0, sigma_points)
+    plot = None
+    if with_plots:
+        plot = np.asarray(plot_sds, float) if plot_sds is not None else np.geomspace(
+            scale / 100.0, scale * 2.0, PLOT_POINTS)
+    spread = np.geomspace(scale / 100.0, scale * 10.0, SPREAD_POINTS)
     regions = None
     if edges is not None:
         pairs = [(r.region_a, r.region_b) for r in _bounded_collect(edges)]
         regions = _Region(sorted({a for a, _ in pairs}), pairs)
-    region_grid = _RegionGrid(regions)
-    for attempt in range(passes):
-        cells = _bounded_collect(sums(grid))
-        if not cells:
-            raise ValueError("no complete row to fit")
-        levels = levels_after_base({c[category] for c in cells}, base)
-        by_point: dict = {}
-        for c in cells:
-            by_point.setdefault((c["sigma"], c.asDict().get("sd_plot")), []).append(c)
-        systems = {point: _System(found, len(covariates), levels,
-                                  regions.names if regions else [], region, category)
-                   for point, found in by_point.items()}
+    systems: dict = {}
+    for _ in range(MOST_ROUNDS):
+        if not systems:
+            cells = _bounded_collect(sums(sigma, plot))
+            if not cells:
+                raise ValueError("no complete row to fit")
+            levels = levels_after_base({c[category] for c in cells}, base)
+            by_point: dict = {}
+            for c in cells:
+                by_point.setdefault((c["sigma"], c.asDict().get("sd_plot")), []).append(c)
+            systems = {point: _System(found, len(covariates), levels,
+                                      regions.names if regions else [], region, category)
+                       for point, found in by_point.items()}
+        region_grid = _RegionGrid(regions, spread)
         mass = _posterior_mass(systems, region_grid)
-        per_sigma = np.array([sum(v for k, v in mass.items() if k[0] == s) for s in grid])
-        if sigmas is not None or attempt == passes - 1 or (per_sigma > 0.02).sum() >= 5:
-            break
-        # All the mass sits in a few grid values: look closer around them.
-        held = np.flatnonzero(per_sigma > 1e-4)
-        low = grid[max(held[0] - 1, 0)]
-        high = grid[min(held[-1] + 1, len(grid) - 1)]
-        grid = np.geomspace(low, high, len(grid))
-    return _summaries(spark, systems, mass, regions, region_grid, covariates, levels)
+        next_sigma = next_plot = next_spread = None
+        if sigmas is None:
+            next_sigma = _moved(sigma, _axis_mass(mass, sigma, lambda k: k[0]))
+        if plot is not None and plot_sds is None:
+            next_plot = _moved(plot, _axis_mass(mass, plot, lambda k: k[1]))
+        if regions is not None:
+            next_spread = _moved(spread, _axis_mass(
+                mass, spread, lambda k: region_grid.points[k[2]][1]))
+        if next_spread is not None:
+            spread = next_spread
+        if next_sigma is not None or next_plot is not None:
+            sigma = sigma if next_sigma is None else next_sigma
+            plot = plot if next_plot is None else next_plot
+            systems = {}
+        elif next_spread is None:
+            return _summaries(spark, systems, mass, regions, region_grid, covariates, levels)
+    raise RuntimeError(f"the variance parameters are not resolved after {MOST_ROUNDS} rounds")
 
 
 def _summaries(spark, systems: dict, mass: dict, regions: _Region | None, grid: _RegionGrid,
@@ -314,34 +371,34 @@ def _summaries(spark, systems: dict, mass: dict, regions: _Region | None, grid:
 
 def fit_region_model(rows: DataFrame, edges: DataFrame | None, covariates: Sequence[str],
                      category: str, base: str, region: str = "region", y: str = "y",
-                     sigma_points: int = 25, passes: int = 4,
-                     sigmas: Sequence[float] | None = None) -> FittedModel:
+                     sigma_points: int = 15, sigmas: Sequence[float] | None = None) -> FittedModel:
     """Regression with response error and, given ``edges``, spatially structured regions.
 
-    The sigma grid starts wide and is narrowed until its mass covers several points. Every pass
-    is one scan of ``rows``; cache or write them first if they are expensive to compute.
+    The grids of the variance parameters are moved until they resolve the posterior, else the fit
+    raises; ``sigmas`` fixes that axis. Every new sigma axis is one scan of ``rows``; cache or write
+    them first if they are expensive to compute.
     """
-    def sums(grid):
+    def sums(grid, _):
         return cross_products(rows, grid, covariates, category, region, y)
 
-    return _fit(rows, sums, covariates, category, base, edges, region, y, sigma_points, passes,
-                sigmas)
+    return _fit(rows, sums, covariates, category, base, edges, region, y, sigma_points, sigmas, None,
+                False)
 
 
 def fit_region_plot_model(rows: DataFrame, edges: DataFrame | None, covariates: Sequence[str],
                           category: str, base: str, plot: str = "FINAL_PLT_ID",
-                          region: str = "region", y: str = "y", sigma_points: int = 15,
-                          plot_sds: Sequence[float] = PLOT_GRID, passes: int = 3,
+                          region: str = "region", y: str = "y", sigma_points: int = 12,
+                          plot_sds: Sequence[float] | None = None,
                           sigmas: Sequence[float] | None = None) -> FittedModel:
     """``fit_region_model`` with a random intercept per plot."""
     usable = rows.select(plot, region, category, "error", y, *covariates).dropna()
     mixed = plots_in_several_cells(usable, plot, region, category).take(5)
     if mixed:
-        names = ", ".join(str(r[0]) for r in mixed)
+        names = ", ".join(str(r[0]) for r in mixed[:4]) + (" and more" if len(mixed) > 4 else "")
         raise ValueError(f"plots in more than one region or category: {names}")
 
-    def sums(grid):
-        return plot_cross_products(rows, grid, plot_sds, covariates, category, plot, region, y)
+    def sums(grid, spreads):
+        return plot_cross_products(rows, grid, spreads, covariates, category, plot, region, y)
 
-    return _fit(rows, sums, covariates, category, base, edges, region, y, sigma_points, passes,
-                sigmas)
+    return _fit(rows, sums, covariates, category, base, edges, region, y, sigma_points, sigmas,
+                plot_sds, True)

@@ -137,13 +137,13 @@ def _(fx):
 @query("m9_disturbance_type_model")
 def _(fx):
     rows = slope_models.disturbance_type_rows(fx.fx_slopes, fx.fx_attributes, fx.fx_treatment)
-    return slope_models.fit_disturbance_type(rows, fx.fx_adj).coefficients
+    return slope_models.fit_disturbance_type(rows, fx.fx_adj).table()
 
 
 @query("m10_time_since_model")
 def _(fx):
     rows = slope_models.time_since_rows(fx.fx_slopes, fx.fx_attributes)
-    return slope_models.fit_time_since(rows, fx.fx_adj).coefficients
+    return slope_models.fit_time_since(rows, fx.fx_adj).table()
 
 
 # --- optional derivations ----------------------------------------------------------------------

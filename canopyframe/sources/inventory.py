@@ -27,7 +27,7 @@ from canopyframe.sources.catalog import (
     file_stems,
 )
 
-CSV_OPTIONS = {"header": "true", "nullValue": "NA", "nanValue": "NaN", "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": "true", "nullValue": "NA", "nanValue": "NaN", "mode": "FAILFAST"}
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str, glob: str = "*.csv") -> list[str]:
@@ -83,8 +83,9 @@ def scan_table(spark: SparkSession, folder: str, table: str,
 
     The name is matched as a whole, so ``CA_OZONE_PLOT.csv`` is never taken for a plot file.
     """
-    codes = "|".join(re.escape(s) for s in check_states(states))
-    paths = list_files(spark, folder, rf"({codes})_{re.escape(table)}\.csv", f"*_{table}.csv")
+    # The bundle of all states has no prefix.
+    codes = "|".join("" if s == "ENTIRE" else re.escape(s) + "_" for s in check_states(states))
+    paths = list_files(spark, folder, rf"({codes}){re.escape(table)}\.csv", f"*{table}.csv")
     return read_csv_files(spark, paths, schemas.BY_TABLE.get(table), fill_missing)
 
 

@@ -123,3 +123,13 @@ def test_writers(spark, tmp_path):
     plan = spark.table("bucketed_slopes").groupBy("PLT_CN").count()
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE bucketed_slopes")
+
+
+def test_bundle_of_all_states_and_bad_fields(spark, tmp_path):
+    (tmp_path / "PLOT.csv").write_text("CN,INVYR\n1,2001\n2,2002\n")
+    (tmp_path / "CA_PLOT.csv").write_text("CN,INVYR\n3,2003\n")
+    got = inventory.scan_table(spark, str(tmp_path), "PLOT", ["ENTIRE"])
+    assert sorted(r["CN"] for r in got.select("CN").collect()) == ["1", "2"]
+    (tmp_path / "CA_PLOT.csv").write_text("CN,INVYR\n3,not a year\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        inventory.scan_table(spark, str(tmp_path), "PLOT", ["CA"]).select("CN", "INVYR").collect()
