@@ -146,8 +146,8 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where,
-                    size: int) -> list:
-    """At most ``size`` labelled rows, the same share of each language (smallest id hashes first)."""
+                    size: int) -> DataFrame | None:
+    """(id, text, lang) of at most ``size`` labelled rows, the same share of each language (smallest id hashes first)."""
     known = docs.filter(F.col(lang_col).isNotNull() & where)
     ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
                        F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")).alias("draw"))
@@ -160,13 +160,31 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     picked = docs.sparkSession.createDataFrame([(c,) for c in chosen], "pick long") \
         if chosen else None
     if picked is None:
-        return []
-    rows = (known.join(F.broadcast(picked.distinct()), F.col(id_col) == F.col("pick"))
-            .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                    F.col(lang_col).alias("lang")))
+        return None
     # Whole texts; a fixed number of rows.
-    return sorted((r["id"], r["lang"], r["text"]) for r in rows.limit(2 * size).toLocalIterator()
-                  if r["text"] is not None)
+    return (known.join(F.broadcast(picked.distinct()), F.col(id_col) == F.col("pick"))
+            .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                    F.col(lang_col).alias("lang")).limit(2 * size))
+
+
+def trained(sample: DataFrame | None) -> Model | None:
+    """``fit`` on a bounded sample, in one task so that the driver holds the finished weights only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, g, t) for batch in batches
+                      for i, t, g in zip(*(c.to_pylist() for c in batch.columns)) if t is not None)
+        if rows:
+            model = fit([t for _, _, t in rows], [g for _, g, _ in rows])
+            yield pa.RecordBatch.from_pydict({
+                "labels": [model.labels], "weights": [model.weights.astype("<f4").tobytes()],
+                "bias": [model.bias.tolist()], "temperature": [float(model.temperature)]})
+
+    schema = "labels array<string>, weights binary, bias array<double>, temperature double"
+    found = sample.repartition(1).mapInArrow(run, schema).collect() if sample else []
+    if not found:
+        return None
+    row = found[0]
+    weights = np.frombuffer(row["weights"], "<f4").reshape(-1, len(row["labels"]))
+    return Model(row["labels"], weights, np.array(row["bias"]), row["temperature"])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -184,8 +202,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     held = fold_of(id_col, folds) == held_fold
     sample = training_sample(docs, id_col, text_col, lang_col, ~held, train_docs)
-    model = fit([t for _, _, t in sample], [g for _, g, _ in sample]) if sample else None
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(trained(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -268,8 +268,8 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                    label_col: str, where, toxic: int, clean: int) -> list:
-    """At most so many labelled rows of each class: those with the smallest id hashes."""
+                    label_col: str, where, toxic: int, clean: int) -> DataFrame | None:
+    """(id, text, y) of at most so many labelled rows of each class: the smallest id hashes."""
     known = (labels.select(F.col(id_col).alias("pick"), F.col(label_col).alias("y"))
              .filter(F.col("pick").isNotNull() & F.col("y").isin(0, 1) & where("pick"))
              .groupBy("pick").agg(F.max("y").alias("y"))
@@ -277,13 +277,31 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = [r for value, size in ((1, toxic), (0, clean))
               for r in known.filter(F.col("y") == value).orderBy("draw", "pick").limit(size).collect()]
     if not chosen:
-        return []
+        return None
     picked = docs.sparkSession.createDataFrame([(r["pick"], r["y"]) for r in chosen],
                                                "pick long, y int")
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .join(F.broadcast(picked), F.col("id") == F.col("pick"))
             .select("id", "text", "y").limit(2 * (toxic + clean)))
-    return sorted((r["id"], r["y"], r["text"] or "") for r in rows.toLocalIterator())
+
+
+def trained(sample: DataFrame | None) -> Model:
+    """``fit`` on a bounded sample, in one task so that the driver holds the finished weights only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, y, t or "") for batch in batches
+                      for i, t, y in zip(*(c.to_pylist() for c in batch.columns)))
+        if rows:
+            model = fit([t for _, _, t in rows], [y for _, y, _ in rows])
+            yield pa.RecordBatch.from_pydict({
+                "weights": [model.weights.astype("<f4").tobytes()], "bias": [float(model.bias)],
+                "slope": [float(model.slope)], "shift": [float(model.offset)]})
+
+    found = sample.repartition(1).mapInArrow(
+        run, "weights binary, bias double, slope double, shift double").collect() if sample else []
+    if not found:
+        return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, -3.0)
+    row = found[0]
+    return Model(np.frombuffer(row["weights"], "<f4"), row["bias"], row["slope"], row["shift"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
@@ -303,10 +321,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     sample = training_sample(docs, labels, id_col, text_col, label_col,
                              lambda c: fold_of(c, folds) != held_fold, train_toxic, train_clean)
-    model = fit([t for _, _, t in sample], [y for _, y, _ in sample]) if sample else \
-        Model(np.zeros(1 << TABLE_BITS), 0.0, 0.0, -3.0)
-    model.weights = model.weights.astype(np.float32)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(trained(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
