@@ -18,13 +18,13 @@ from canopyframe.session import materialize
 LENGTH = 100               # bytes of a repeat
 GRAM = 40                  # bytes of an anchor; every LENGTH-byte string holds LENGTH - GRAM + 1
 SIDE = LENGTH - GRAM       # bytes before an anchor that a window through it can reach
-BUCKET_ROWS = 20_000       # a larger bucket is cut into windows instead of scanned in one task
+BUCKET_ROWS = 2_000        # a larger bucket is cut into windows instead of scanned in one task
 PLACE_BITS = np.uint64(31)
 _BYTE_CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * MIX_A)
 
 ANCHOR = "h long, s long, i long, th long, pos int, low int, high int, kind int"
 FOUND = "i long, th long, kind int, a int, b int, c int, h long"
-CONTEXT = "h long, i long, th long, pos int, low int, high int, before binary, after binary"
+CONTEXT = "h long, i long, th long, pos int, low int, high int, before binary, after binary, large boolean"
 SPAN = "i long, th long, kind int, a int, b int, w long, v long"
 REPEAT = "repeat long, length int, i long, th long, start int"
 ONCE, SPLIT = 1, 2         # kinds of SPAN rows: a removed span, a window of a large bucket
@@ -176,10 +176,18 @@ def _extra(docs: DataFrame) -> str:
     return "".join(f", extra {f.dataType.simpleString()}" for f in docs.schema if f.name == "extra")
 
 
-def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Bytes on either side of the anchors that have rivals in their bucket."""
-    own = (found.filter("kind = 0").groupBy("i", "th")
-           .agg(F.collect_list(F.struct("h", "a", "b", "c")).alias("at")))
+def contexts(docs: DataFrame, found: DataFrame, bucket_rows: int | None = None) -> DataFrame:
+    """Bytes on either side of the anchors that have rivals in their bucket, and whether the bucket
+    has more than ``bucket_rows`` of them."""
+    rivals = found.filter("kind = 0").select("i", "th", "h", "a", "b", "c")
+    if bucket_rows is None:
+        rivals = rivals.withColumn("large", F.lit(False))
+    else:
+        large = (rivals.groupBy("h").agg(F.count("*").alias("n"))
+                 .filter(F.col("n") > bucket_rows).select("h", F.lit(True).alias("large")))
+        rivals = rivals.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    own = rivals.groupBy("i", "th").agg(
+        F.collect_list(F.struct("h", "a", "b", "c", "large")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -187,14 +195,13 @@ def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
             for i, th, z, spots in zip(*batch.columns):
                 data = opener.decompress(z.as_py())
                 spot = spots.values.flatten()
-                h, pos, low, high = (np.asarray(c) for c in spot)
-                n = len(h)
+                pos, n = np.asarray(spot[1]), len(spot[0])
                 yield pa.RecordBatch.from_arrays(
                     [spot[0], pa.array([i.as_py()] * n, pa.int64()),
-                     pa.array([th.as_py()] * n, pa.int64()), *spot[1:],
+                     pa.array([th.as_py()] * n, pa.int64()), *spot[1:4],
                      pa.array([data[max(0, p - SIDE):p] for p in pos], pa.binary()),
-                     pa.array([data[p:p + LENGTH] for p in pos], pa.binary())],
-                    ["h", "i", "th", "pos", "low", "high", "before", "after"])
+                     pa.array([data[p:p + LENGTH] for p in pos], pa.binary()), spot[4]],
+                    ["h", "i", "th", "pos", "low", "high", "before", "after", "large"])
 
     return docs.join(own, ["i", "th"]).select("i", "th", "z", "at").mapInArrow(run, CONTEXT)
 
@@ -282,33 +289,30 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
         ["i", "th", "kind", "a", "b", "w", "v"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], limit: int):
-    """(rows of a bucket or of a piece of one, is the bucket over the limit); rows that repeat an
-    anchor are left out."""
-    held, bucket, large, last = [], None, False, None
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], bool]]:
+    """(rows of a bucket or some rows of a large one, is it large); rows that repeat an anchor are
+    left out."""
+    held, bucket, last = [], None, None
     for batch in batches:
-        for h, i, th, pos, low, high, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-            if h != bucket:
+        for h, i, th, pos, low, high, before, after, large in zip(
+                *(c.to_pylist() for c in batch.columns)):
+            if (h, large) != bucket or large and len(held) == 256:
                 if held:
-                    yield held, large
-                held, bucket, large, last = [], h, False, None
-            if (i, th, pos) == last:
+                    yield held, bucket[1]
+                held, bucket = [], (h, large)
+            if (h, i, th, pos) == last:
                 continue
-            last = i, th, pos
+            last = h, i, th, pos
             held.append((i, th, pos, before, after, low, high))
-            if len(held) > limit or large and len(held) == 256:
-                large = True
-                yield held, True
-                held = []
     if held:
-        yield held, large
+        yield held, bucket[1]
 
 
-def scan(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def scan(rows: DataFrame) -> DataFrame:
     """``SPAN`` rows: what the buckets' suffix arrays remove, or the windows of large buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for bucket, large in _buckets(batches, bucket_rows):
+        for bucket, large in _buckets(batches):
             if large:
                 out.extend(_window_rows(bucket))
             elif len(bucket) > 1:
@@ -324,7 +328,10 @@ def scan(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "after", "i", "th", "pos")
+    """Buckets in suffix order; rows of large ones, which need not meet, are dealt evenly."""
+    deal = F.when(F.col("large"), F.xxhash64("i", "th", "pos")).otherwise(F.col("h"))
+    return (rows.withColumn("deal", deal).repartition("deal")
+            .sortWithinPartitions("h", "after", "i", "th", "pos").drop("deal"))
 
 
 def later_windows(rows: DataFrame) -> DataFrame:
@@ -348,14 +355,14 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(repeat, length, id, start): occurrences of maximal repeats through rival anchors.
 
     Lengths are exact up to ``SIDE`` bytes before and ``LENGTH`` after the anchor that found them; a
-    longer repeat shows at several anchors. Documents that agree on an anchor's whole span are
+    longer repeat shows at several anchors. A bucket is scanned whole in one task. Documents that agree on an anchor's whole span are
     represented by the earliest one.
     """
     z, found = _prepared(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        for bucket, _ in _buckets(batches, 1 << 60):
+        for bucket, _ in _buckets(batches):
             out: list[tuple] = []
 
             def emit(members, length, row, start):
@@ -393,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``LENGTH`` lose nothing. Other columns are ignored, an empty table gives an empty result.
     """
     z, found = _prepared(docs, id_col, text_col, columns)
-    scanned = materialize(scan(contexts(z, found), bucket_rows))
+    scanned = materialize(scan(contexts(z, found, bucket_rows)))
     spans = (found.filter("kind = 1").select("i", "th", "a", "b")
              .unionByName(scanned.filter(F.col("kind") == ONCE).select("i", "th", "a", "b"))
              .unionByName(later_windows(scanned)))
