@@ -8,13 +8,23 @@ forget the ones not met for longest, which costs time and never changes an id.
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from pathlib import Path
+from types import ModuleType
 
 import numpy as np
 
 TABLE_CHUNKS = 400_000     # per generation; two generations are held
 JOINED = 256               # chunks that are handed to the library as one text
 
+# A word and the marks after it are two pre-tokens, so marks need no entries for every word.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]+)")
+# A blank beside one of these (or at a text's edge) isn't where a pre-token must begin.
+_PLAIN_SPACES = "\t\n\v\f\r \x1c\x1d\x1e\x1f"
+_BLANK_BESIDE = [pair for c in _PLAIN_SPACES for pair in {" " + c, c + " "}]
+_OTHER_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B)))
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
 _UNIT = re.compile(r" +[^ ]*")
 
@@ -55,6 +65,16 @@ class ChunkTable:
         return out
 
 
+def shared_table(kind: type[ChunkTable], model: bytes) -> ChunkTable:
+    """The worker process's table for this model: a later task goes on with what an earlier one has
+    encoded."""
+    store = sys.modules.setdefault("_canopyframe_chunk_tables", ModuleType("_canopyframe_chunk_tables"))
+    name = f"{kind.__name__}{zlib.crc32(model)}"
+    if not hasattr(store, name):
+        setattr(store, name, kind(model))
+    return getattr(store, name)
+
+
 class ByteChunks(ChunkTable):
     """Byte-level BPE. A blank between two visible characters always starts a pre-token, so a text
     may be cut before it. Values are the ids as little-endian 16-bit bytes (the vocabulary is
@@ -66,40 +86,94 @@ class ByteChunks(ChunkTable):
         self.tokenizer = Tokenizer.from_str(model.decode())
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids do not fit into 16 bits")
+        self.marks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+        # Characters of a token's name stand for bytes, so their number tells how far it reaches.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.sizes[k] = len(token)
 
     def chunks(self, text: str) -> list[str]:
         """The text's chunks; all but the first have lost their leading blank."""
-        parts = text.split(" ")
-        for part in parts:
-            if not part or part[0].isspace() or part[-1].isspace():
-                return _EDGE.split(text)
-        return parts
+        if (text[0] == " " or text[-1] == " " or any(pair in text for pair in _BLANK_BESIDE)
+                or not text.isascii() and any(c in text for c in _OTHER_SPACES)):
+            return _EDGE.split(text)
+        return text.split(" ")
 
     def fill(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(chunks), JOINED):
-            group = chunks[at:at + JOINED]
-            starts = np.cumsum([0] + [len(c) + 1 for c in group])
-            plain = [not c or c[0].isspace() or c[-1].isspace() for c in group]
-            if any(plain):          # at a text's edge, or beside it: on their own
-                out.extend(self.one(" " + c) for c in group)
-                continue
-            code = self.tokenizer.encode(" " + " ".join(group), add_special_tokens=False)
-            ids = np.array(code.ids, "<u2")
-            begin = np.array([o[0] for o in code.offsets], np.int64)
-            cuts = np.searchsorted(begin, starts)
-            cuts[-1] = len(ids)
-            out.extend(ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))
+        out: list[bytes | None] = [None] * len(chunks)
+        plain, split = [], []
+        for k, chunk in enumerate(chunks):
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                out[k] = self.one(" " + chunk)      # at a text's edge, or beside it: on its own
+            elif match := _WORD_AND_MARKS.fullmatch(chunk):
+                split.append((k, *match.groups()))
+            else:
+                plain.append(k)
+        for at in range(0, len(plain), JOINED):
+            group = plain[at:at + JOINED]
+            out_of = self._joined([chunks[k] for k in group])
+            for k, value in zip(group, out_of):
+                out[k] = value
+        if split:
+            # The words go through the table again, now without marks.
+            words = self.values([w for _, w, _ in split])
+            for (k, _, marks), word in zip(split, words):
+                tail = self.marks.get(marks)
+                if tail is None:
+                    tail = self.one(marks)
+                    if len(self.marks) < self.limit:
+                        self.marks[marks] = tail
+                out[k] = word + tail
+        return out
+
+    def _joined(self, group: list[str]) -> list[bytes]:
+        text = " " + " ".join(group)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                       np.int64)
+        size = [len(c) + 1 for c in group] if text.isascii() else [len(c.encode()) + 1 for c in group]
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size)) + 1
+        data = ids.astype("<u2").tobytes()
+        out, at = [], 0
+        for cut in (2 * cuts).tolist():
+            out.append(data[at:cut])
+            at = cut
         return out
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts; what is new in them goes to the library together."""
+        rest: list[str] = []
+        heads, ends = [], []
+        for text in texts:
+            head, *own = self.chunks(text) if text else [""]
+            heads.append(head)
+            rest += own
+            ends.append(len(rest))
+        values = self.values(rest)
+        out, at = [], 0
+        for head, end in zip(heads, ends):
+            out.append(self._start(head) + b"".join(values[at:end]))
+            at = end
+        return out
+
+    def _start(self, chunk: str) -> bytes:
+        """Ids of a text's first chunk, which has no blank before it."""
+        if not chunk:
             return b""
-        first, *rest = self.chunks(text)
-        return self.one(first) + b"".join(self.values(rest))
+        known = self.starts.get(chunk)
+        if known is None:
+            known = self.one(chunk)
+            if len(self.starts) > self.limit // 4:
+                self.starts.clear()
+            self.starts[chunk] = known
+        return known
 
 
 class PieceChunks(ChunkTable):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopyframe.llm.chunks import PieceChunks, tokenizer_bytes
+from canopyframe.llm.chunks import PieceChunks, shared_table, tokenizer_bytes
 
 MODEL = "piece_bpe_32k.model"
 
@@ -30,7 +30,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fields = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceChunks(model.value)
+        table = shared_table(PieceChunks, model.value)
         for batch in batches:
             counts, shas, decoded, all_ids = [], [], [], []
             for text in batch.column(1):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.chunks import ByteChunks, tokenizer_bytes
+from canopyframe.llm.chunks import ByteChunks, shared_table, tokenizer_bytes
 
 MODEL = "byte_bpe_50k.json"
 EDIT = "array<struct<start:int,stop:int,replacement:string>>"
@@ -188,7 +188,7 @@ def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(MODEL, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ByteChunks(model.value)
+        table = shared_table(ByteChunks, model.value)
         for batch in batches:
             rows = []
             for text, edits in zip(batch.column(1), batch.column(2)):

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.llm.chunks import ByteChunks, tokenizer_bytes
+from canopyframe.llm.chunks import ByteChunks, shared_table, tokenizer_bytes
 from canopyframe.llm.common import id_of, keyed, written
 
 MODEL = "byte_bpe_50k.json"
@@ -131,7 +131,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
-        table, packer = ByteChunks(model.value), zstandard.ZstdCompressor(level=1)
+        table, packer = shared_table(ByteChunks, model.value), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u2").tobytes()
         ids: list[int] = []
         codes: list[bytes] = []
@@ -151,13 +151,14 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 "lengths": [lengths.tobytes()], "symbols": [packer.compress(symbols.tobytes())]})
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(i)
-                codes.append(table.encode(text.as_py() or "") + end)
-                held += len(codes[-1]) // 2
-                if held >= shard_tokens:
-                    yield close()
-                    ids, codes, held, seq = [], [], 0, seq + 1
+            for group in _groups(batch):
+                for i, code in zip(group[0], table.encode_many(group[1])):
+                    ids.append(i)
+                    codes.append(code + end)
+                    held += len(codes[-1]) // 2
+                    if held >= shard_tokens:
+                        yield close()
+                        ids, codes, held, seq = [], [], 0, seq + 1
         if ids:
             yield close()
 
@@ -165,6 +166,22 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .sortWithinPartitions("i", "th").select("i", "text").mapInArrow(run, SHARD))
 
 
+def _groups(batch: pa.RecordBatch, chars: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of neighbouring rows, about so many characters at a time."""
+    ids: list = []
+    texts: list[str] = []
+    size = 0
+    for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(i)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def decoded(stored: DataFrame) -> DataFrame:
     """(part, seq, place, i, n_tokens, ids_crc32, before) of every document, from stored shards.
 
