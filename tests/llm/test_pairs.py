@@ -5,9 +5,11 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from canopyframe.llm import contamination, neardup, repeats, urls
+from canopyframe.llm.common import blocks
 
 DOCS = "doc_id long, text string, i string, th string, item_id string, spans string"
 
@@ -198,6 +200,38 @@ def test_hot_group_is_one_class(spark):
     assert {r["class_id"] for r in got} == {0} and sum(r["first"] for r in got) == 1
 
 
+def test_a_common_passage_hides_no_pair(spark):
+    """150 texts share a footer; pairs of them at 0.84 that meet, meet in its buckets only."""
+    draw = random.Random(15)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    footer = [word() for _ in range(30)]
+    docs = [[word() for _ in range(58)] + footer for _ in range(150)]
+    for k in range(11):
+        other = list(docs[10 * k])
+        for at in range(4, 58, 4):      # no five words in a row are left outside the footer
+            other[at] = word()
+        docs.append(other)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    keys = neardup.sketches(next(blocks(pa.array([t for _, t in rows]))))[1]
+    meet = [k for k in range(11) if (keys[10 * k] == keys[150 + k]).any()]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+    assert len(meet) > 4 and [got[150 + k] for k in meet] == [10 * k for k in meet]
+    assert all(got[i] == i for i in range(150))
+
+
+def test_word_parities_lose_no_pair():
+    draw = random.Random(16)
+    vocab = vocabulary(draw, 400)
+    for _ in range(300):
+        a = [draw.choice(vocab) for _ in range(draw.randint(1, 80))]
+        b = changed(draw, a, vocab, draw.randint(0, 20))
+        texts = pa.array([" ".join(a), " ".join(b)])
+        n_words, _, parity = neardup.sketches(next(blocks(texts)))
+        assert n_words.tolist() == [len(a), len(b)]
+        differ = sum(int(x).bit_count() for x in parity[0] ^ parity[1])
+        assert differ <= 2 * levenshtein(a, b) - abs(len(a) - len(b))
+
+
 def test_no_near_duplicates_in_an_empty_table(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
