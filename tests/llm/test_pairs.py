@@ -232,6 +232,38 @@ def test_word_parities_lose_no_pair():
         assert differ <= 2 * levenshtein(a, b) - abs(len(a) - len(b))
 
 
+def pairs_at_the_threshold(draw, lengths):
+    """Texts of unlike words, and each with as many random edits as leave it similar."""
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(8))
+    fresh = [word() for _ in range(50_000)]
+    rows = []
+    for n in lengths:
+        base = [word() for _ in range(n)]
+        other = changed(draw, base, fresh, n // 5)
+        edits = levenshtein(base, other)
+        if edits and 5 * edits <= max(n, len(other)):
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+def test_short_texts_find_all_similar_ones(spark):
+    rows = pairs_at_the_threshold(random.Random(17), [n for n in range(5, 45) for _ in range(8)])
+    rows += [(9000, "one"), (9001, " ONE"), (9002, "q w e r t y u"), (9003, "q w e X t y u"),
+             (9004, "h j k l"), (9005, "h j m k l")]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+    short = [i for i, t in rows[1::2] if min(len(t.split()), len(rows[i - 1][1].split()
+             if i < 9000 else "")) < 40]
+    assert [i for i in short if got[i] != i - 1] == []
+
+
+def test_recall_at_the_threshold(spark):
+    draw = random.Random(18)
+    rows = pairs_at_the_threshold(draw, [draw.randint(45, 150) for _ in range(300)])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+    found = sum(got[i] == i - 1 for i, _ in rows[1::2])
+    assert len(rows) > 500 and found >= 0.99 * len(rows) / 2
+
+
 def test_no_near_duplicates_in_an_empty_table(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
