@@ -26,7 +26,7 @@ ANCHOR = "h long, s long, i long, th long, pos int, low int, high int, kind int"
 FOUND = "i long, th long, kind int, a int, b int, c int, h long"
 CONTEXT = "h long, i long, th long, pos int, low int, high int, before binary, after binary, large boolean"
 SPAN = "i long, th long, kind int, a int, b int, w long, v long"
-REPEAT = "repeat long, length int, i long, th long, start int"
+REPEAT = "repeat long, length int, c long, shift int"
 ONCE, SPLIT = 1, 2         # kinds of SPAN rows: a removed span, a window of a large bucket
 
 
@@ -74,9 +74,10 @@ def _first_of_class(order_keys: list[np.ndarray], span: np.ndarray) -> tuple[np.
     return first, twin
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, every: bool = False) -> DataFrame:
     """``ANCHOR`` rows of all documents. Of equal spans that meet in one batch only the earliest
-    stays an anchor (kind 0); the others are known to be repeats (kind 1) and are spread evenly."""
+    stays an anchor (kind 0); the others are known to be repeats (kind 1) and are spread evenly.
+    With ``every``, all of them stay anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (np.asarray(batch.column(k)) for k in (0, 1))
@@ -90,6 +91,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             text, place, low, high, h, s = (np.concatenate(c) for c in zip(*parts))
             i, th = ids[text], hashes[text]
             first, twin = _first_of_class([i, th, place], s)
+            first |= every
             h = np.where(first, h, mix(s + place.astype(np.uint64) + i.astype(np.uint64)))
             keep = ~twin
             yield pa.RecordBatch.from_arrays(
@@ -352,32 +354,52 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str,
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(repeat, length, id, start): occurrences of maximal repeats through rival anchors.
+    """(repeat, length, id, start): all occurrences of maximal repeats of ``LENGTH`` bytes or more.
 
-    Lengths are exact up to ``SIDE`` bytes before and ``LENGTH`` after the anchor that found them; a
-    longer repeat shows at several anchors. A bucket is scanned whole in one task. Documents that agree on an anchor's whole span are
-    represented by the earliest one.
+    What is seen of an occurrence is up to ``SIDE`` bytes before its anchor and ``LENGTH`` from there
+    on, so a longer repeat shows as one group of up to that length at each of its anchors. Places that
+    look alike form a class, whose earliest one is sorted for all; the classes' members are joined
+    back to the groups. The classes of a bucket are scanned in one task.
     """
-    z, found = _prepared(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col)
+    found = materialize(anchor_rows(own, every=True).select(
+        "i", "th", "kind", F.col("pos").alias("a"), F.col("low").alias("b"),
+        F.col("high").alias("c"), "h").distinct())
+    shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = materialize(contexts(packed(own), found.join(shared, "h", "left_semi"))
+                         .dropDuplicates(["i", "th", "pos"])
+                         .withColumn("c", F.xxhash64("h", "before", "after")))
+    classes = places.groupBy("h", "c").agg(
+        F.min(F.struct("i", "th", "pos")).alias("at"), F.first("before").alias("before"),
+        F.first("after").alias("after"), F.count("*").alias("n"))
+    heads = classes.select("h", "at.*", "c", "n", "before", "after", F.lit(False).alias("large"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         for bucket, _ in _buckets(batches):
             out: list[tuple] = []
+            full = set()        # classes in a group of all that is seen of them
 
             def emit(members, length, row, start):
                 head = min(members, key=lambda k: bucket[k][:3])
                 key = repr((bucket[head][:2], bucket[head][2] - (row[2] - start), length)).encode()
                 name = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
-                out.append((name, length, row[0], row[1], start))
+                if length == len(row[3]) + len(row[4]):
+                    full.add(row[5])
+                out.append((name, length, row[5], start - row[2]))
 
             scan_bucket(bucket, emit)
+            for k, row in enumerate(bucket):
+                if row[6] > 1 and row[5] not in full:
+                    emit([k], len(row[3]) + len(row[4]), row, row[2] - len(row[3]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)],
-                ["repeat", "length", "i", "th", "start"])
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)],
+                ["repeat", "length", "c", "shift"])
 
-    return (_by_bucket(contexts(z, found)).mapInArrow(run, REPEAT).distinct()
-            .select("repeat", "length", id_of().alias(id_col), "start"))
+    groups = _by_bucket(heads).mapInArrow(run, REPEAT).distinct()
+    return (groups.join(places.select("c", "i", "th", "pos"), "c")
+            .select("repeat", "length", "i", "th", (F.col("pos") + F.col("shift")).alias("start"))
+            .distinct().select("repeat", "length", id_of().alias(id_col), "start"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -347,6 +347,27 @@ def test_maximal_repeats_have_all_occurrences(spark):
     assert any(length == size and starts == places for (_, length), starts in groups.items())
 
 
+def test_maximal_repeats_of_exact_copies(spark):
+    draw = random.Random(27)
+    rand = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    text, passage = rand(130), rand(110)
+    rows = [(k, text) for k in range(3)]                            # one class
+    rows += [(k, "x" * 9 + passage + "yz") for k in (10, 11)]       # two classes that share a passage
+    rows += [(k, "w" * 5 + passage + "vu") for k in (12, 13)]
+    groups = {}
+    for r in repeats.maximal_repeats(frame(spark, rows)).collect():
+        groups.setdefault((r["repeat"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    found = {(length, frozenset(places)) for (_, length), places in groups.items()}
+    assert any({i for i, _ in places} == {0, 1, 2} for _, places in found)
+    assert (110, frozenset({(10, 9), (11, 9), (12, 5), (13, 5)})) in found
+    text_of = dict(rows)
+    for length, places in found:
+        repeat = {text_of[i][start:start + length] for i, start in places}
+        assert len(repeat) == 1
+        shown = repeat.pop()
+        assert {i for i, t in rows if shown in t} == {i for i, _ in places}
+
+
 def test_common_prefix_intervals():
     draw = random.Random(26)
     for _ in range(300):
