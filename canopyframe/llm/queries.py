@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canopyframe.llm import (contamination, language, manifest, neardup, quality, recount, repeats,
-                             toxicity, urls)
+                             toxicity, urls, vectorcodes)
 from canopyframe.llm.common import table
 from canopyframe.llm.pieces import encode_pieces
 from canopyframe.llm.repair import token_index
@@ -79,6 +79,14 @@ def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op11_vector_codes"] = vectorcodes.SQL
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_manifest(table(spark, sf_dir, "documents"))
