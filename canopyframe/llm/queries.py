@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import (contamination, language, manifest, neardup, quality, recount, repeats,
-                             toxicity, urls, vectorcodes)
+from canopyframe.llm import (contamination, dimscan, language, manifest, neardup, quality, recount,
+                             repeats, toxicity, urls, vectorcodes)
 from canopyframe.llm.common import table
 from canopyframe.llm.pieces import encode_pieces
 from canopyframe.llm.repair import token_index
@@ -87,6 +87,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op11_vector_codes"] = vectorcodes.SQL
 
 
+@query
+def op12_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimscan.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_manifest(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from canopyframe.llm import vectorcodes
+from canopyframe.llm import dimscan, vectorcodes
 
 SCHEMA = ("vec_id long, embedding array<{}>, label int, id string, vector string, n string, "
           "code string, c1 string")
@@ -127,3 +127,113 @@ def test_entries_are_eliminated_early():
 def test_codes_of_one_hot_label(spark, kind):
     rows = [(k, [k % 7 / 8, k % 5 / 4, -0.5, 0.125] * 2, 1 if k % 3 else k) for k in range(600)]
     assert coded(spark, rows, kind) == brute_codes(rows)
+
+
+# --- nearest neighbours ------------------------------------------------------------------------
+
+def brute_neighbours(rows, wanted=20):
+    rows = [(k, v) for k, v, _ in rows if usable(v) and any(x != 0 for x in v)]
+    width = max((len(v) for _, v in rows), default=0)
+    rows = sorted({(k, tuple(v) + (0.0,) * (width - len(v))) for k, v in rows},
+                  key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    out = {}
+    for n, (q, x) in enumerate(rows):
+        if q is None or q % 20:
+            continue
+        found = []
+        for m, (k, y) in enumerate(rows):
+            if m != n:
+                total = 0.0
+                for a, b in zip(x, y):
+                    total += a * b
+                found.append((-total, k is None, k or 0))
+        found.sort()
+        out.setdefault(q, []).append([(None if null else k, -t) for t, null, k in found[:wanted]])
+    return out
+
+
+def searched(spark, rows):
+    out = {}
+    for r in sorted(dimscan.neighbours(frame(spark, rows)).collect(),
+                    key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_few_rows_are_searched_exactly(spark):
+    rows = [(k, v, t) for k, (_, v, t) in enumerate(random_rows(60, 6, 5, scale=3.0))]
+    rows += [(100, None, 1), (120, [0.0] * 6, 1), (140, [None] * 6, 1), (160, [math.nan] * 6, 1),
+             (180, [math.inf] + [1.0] * 5, 1), (200, [1.0, 2.0], 1), (None, [2.0] * 6, 1),
+             (220, [], 1)]
+    # Copies under many ids, a whole row twice, and ties between different vectors.
+    rows += [(k, [1.0, 0.0, 0.0, 0.0, 0.0, 2.0], 1) for k in range(1000, 1045)] + [rows[20]] * 3
+    rows += [(2000, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0], 1), (2001, [0.0, 1.0, 5.0, 0.0, 0.0, 0.0], 1)]
+    got, want = searched(spark, rows), brute_neighbours(rows)
+    assert set(got) == set(want)
+    for q in want:
+        assert got[q] == want[q][0], q
+
+
+def test_search_of_no_rows_and_one_row(spark):
+    assert searched(spark, []) == {}
+    assert searched(spark, [(20, [0.0], 1), (40, None, 1)]) == {}
+    assert searched(spark, [(20, [1.0], 1)]) == {}
+    assert searched(spark, [(20, [1.0], 1), (21, [2.0], 1)]) == {20: [(21, 2.0)]}
+
+
+def test_search_reaches_the_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((30, 24))
+    points = centres[rng.integers(0, 30, 4000)] + 0.4 * rng.standard_normal((4000, 24))
+    points *= rng.uniform(0.2, 3.0, (4000, 1))      # norms differ, so nearness is not the angle
+    rows = [(k, p.tolist(), 1) for k, p in enumerate(points)]
+    rows += [(10_000 + k, points[0].tolist(), 1) for k in range(2000)]   # a third are copies
+    got = searched(spark, rows)
+    x = np.array([r[1] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    hits = 0
+    for n in np.flatnonzero(ids % 20 == 0):
+        score = dimscan.scores(np.broadcast_to(x[n], x.shape), x)
+        others = np.flatnonzero(ids != ids[n])
+        best = others[np.lexsort((ids[others], -score[others]))][:20]
+        found = got[ids[n]]
+        assert len(found) == 20
+        value = dict(zip(ids.tolist(), score.tolist()))
+        assert all(s == value[k] for k, s in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+        hits += len({k for k, _ in found} & set(ids[best].tolist()))
+    assert hits / (20 * len(got)) >= 0.94
+
+
+def test_share_quantile_is_the_chance_of_a_random_rotation():
+    rng = np.random.default_rng(1)
+    square = rng.standard_normal((200_000, 33)) ** 2
+    for seen in (1, 8, 16, 32):
+        share = square[:, :seen].sum(axis=1) / square.sum(axis=1)
+        bound = dimscan.share_quantile(seen, 33, 0.01)
+        assert abs((share > bound).mean() - 0.01) < 0.002
+
+
+@pytest.mark.parametrize("spread, most", [(0.2, 0.35), (9.0, 0.8)])
+def test_scan_gives_pairs_up_early_and_keeps_the_near_ones(spread, most):
+    """In clusters, and without any structure."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 3000)]
+    x = x + spread * rng.standard_normal(x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space = dimscan.Space(64, 1.0, float((x * x).sum(axis=1).max()))
+    stored, asked = space.stored(x), space.asked(x[:50])
+    product = x[:50] @ x.T
+    tau = np.sort(product, axis=1)[:, -21]
+    q, c, looked = dimscan.scan(asked, stored, space.beat(x[:50], tau))
+    want = set(zip(*np.nonzero(product >= tau[:, None])))
+    assert len(want - set(zip(q, c))) <= 0.02 * len(want)
+    assert looked < most * product.size * 65
+    everything = dimscan.scan(asked, stored, np.full(50, np.inf))
+    assert len(everything[0]) == product.size
+
+
+def test_search_of_huge_components_does_not_fail(spark):
+    rows = [(k, [1e300 * (1 + k % 3), -1e300, float(k)], 1) for k in range(60)]
+    got = searched(spark, rows)
+    assert set(got) == {0, 20, 40} and all(len(v) == 20 for v in got.values())
