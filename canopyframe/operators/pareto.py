@@ -11,18 +11,18 @@ both lognormal(1, 1), tau uniform on (x_min, x_max).
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions.measures import slope_from_exponent
 from canopyframe.functions.twopart import two_part_log_density
 from canopyframe.operators.ranking import summarise_groups
+from canopyframe.session import materialize
 
 X_MIN = 12.7
 X_MAX = 50.0
@@ -35,7 +35,11 @@ GRID = 500
 GRID_HALF_WIDTH = 12.0
 GRID_TAIL = 40.0
 
-ZOOM = 4
+# Two-part fit: an axis is resolved once the standard deviation spans so many steps and neither end
+# that could be moved holds more than EDGE_MASS.
+RESOLVED_STEPS, EDGE_MASS = 1.5, 1e-3
+LEAST_CELLS = 24            # cells that fit both ends and RESOLVED_STEPS
+NARROWINGS, PASSES = 60, 30   # looks at the exponents and passes over the trees; more than that raise
 
 CHAINS = 4
 KEPT_ITERATIONS = 3000
@@ -47,6 +51,22 @@ def thinned_iterations(first: int = 100, last: int = KEPT_ITERATIONS, count: int
     return [int(round(first + i * step)) for i in range(count)]
 
 
+def tree_counts(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min: float = X_MIN,
+                weight: str | None = None) -> DataFrame:
+    """Per plot, fitted or not: N_rows, N_missing (no size or weight), N_below, N_Trees, fitted.
+
+    The fits take ``N_Trees`` rows; a plot of which none is left has no fit.
+    """
+    known = F.col(x).isNotNull()
+    if weight is not None:
+        known = known & F.col(weight).isNotNull()
+    below = F.col(x) < F.lit(float(x_min))
+    return trees.groupBy(plot).agg(
+        F.count(F.lit(1)).alias("N_rows"), F.count_if(~known).alias("N_missing"),
+        F.count_if(known & below).alias("N_below"), F.count_if(known & ~below).alias("N_Trees")
+    ).withColumn("fitted", F.col("N_Trees") > 0)
+
+
 # --- one-part fit ------------------------------------------------------------------------------
 
 def pareto_sums(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min: float = X_MIN,
@@ -130,13 +150,14 @@ def fit_pareto(sums: DataFrame, plot: str = "PLT_CN", grid: int = GRID) -> DataF
                 return a[rows, np.minimum(below, grid - 1)]
 
             yield pd.DataFrame({
-                plot: pdf[plot].to_numpy(), "N_Trees": pdf["N_Trees"].to_numpy(), "S": s,
+                plot: pdf[plot].to_numpy(), "N_Trees": pdf["N_Trees"].to_numpy(),
+                "N_below": pdf["N_below"].to_numpy(), "S": s,
                 "alpha_mean": mean, "alpha_sd": np.sqrt(var), "q5": quantile(0.05),
                 "median": quantile(0.5), "q95": quantile(0.95)})
 
-    fitted = _spread(sums, plot).select(plot, "N_Trees", "S").mapInPandas(
-        fit, f"{plot} {kind}, N_Trees long, S double, alpha_mean double, alpha_sd double, "
-             "q5 double, median double, q95 double")
+    fitted = _spread(sums, plot).select(plot, "N_Trees", "N_below", "S").mapInPandas(
+        fit, f"{plot} {kind}, N_Trees long, N_below long, S double, alpha_mean double, "
+             "alpha_sd double, q5 double, median double, q95 double")
     return (fitted.withColumn("alpha_mle", F.try_divide(F.col("N_Trees"), F.col("S")))
             .withColumn("corrected_slope",
                         slope_from_exponent(F.lit("alpha"), F.col("alpha_mean"))))
@@ -144,38 +165,114 @@ def fit_pareto(sums: DataFrame, plot: str = "PLT_CN", grid: int = GRID) -> DataF
 
 # --- two-part fit ------------------------------------------------------------------------------
 
-def two_part_sums(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min: float = X_MIN,
-                  x_max: float = X_MAX, weight: str | None = None, taus: int = 40) -> DataFrame:
+def _binned_sums(trees: DataFrame, plot: str, x: str, x_min: float, weight: str | None, taus: int,
+                 low: Column, high: Column) -> DataFrame:
     """Per plot: counts and log-size sums between neighbouring break candidates.
 
-    Break candidates are the ``taus`` cell midpoints of (x_min, x_max), so bin ``b`` holds the
-    sizes that lie at or above exactly ``b`` candidates. A plot of any size becomes at most
-    ``taus + 1`` bins.
+    The candidates are the ``taus`` cell midpoints of (low, high), which may differ by plot. Bin
+    ``b`` holds the sizes that lie at or above exactly ``b`` of them, so a plot of any size becomes
+    at most ``taus + 1`` bins; bin -1 counts the rows below ``x_min``.
     """
-    step = (x_max - x_min) / taus
-    used = trees.dropna(subset=[x]).filter(F.col(x) >= F.lit(float(x_min)))
-    place = F.floor((F.col(x) - F.lit(float(x_min))) / F.lit(step) + 0.5).cast("int")
-    binned = F.least(F.greatest(place, F.lit(0)), F.lit(taus)).alias("bin")
+    place = F.floor((F.col(x) - low) / ((high - low) / F.lit(taus)) + 0.5)
+    inside = F.least(F.greatest(place, F.lit(0)), F.lit(taus)).cast("int")
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    cells = used.filter(w.isNotNull()).groupBy(plot, binned).agg(
+    cells = trees.filter(F.col(x).isNotNull() & w.isNotNull()).groupBy(
+        plot, F.when(F.col(x) < F.lit(float(x_min)), -1).otherwise(inside).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * F.ln(x)).alias("s"))
     # The grid work per plot is large next to its few bytes, so the partition count is fixed here
     # instead of being merged by size; the grouping below reuses this distribution.
     parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = F.col("bin") >= 0
     return cells.repartition(parts, plot).groupBy(plot).agg(
-        F.sum("n").alias("N_Trees"), F.sum("w").alias("W"),
-        F.collect_list(F.struct("bin", "w", "s")).alias("bins"))
+        F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias("N_Trees"),
+        F.sum(F.when(used, F.col("w"))).alias("W"),
+        F.coalesce(F.sum(F.when(~used, F.col("n"))), F.lit(0)).alias("N_below"),
+        F.collect_list(F.when(used, F.struct("bin", "w", "s"))).alias("bins")
+    ).filter("N_Trees > 0")
+
+
+def two_part_sums(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min: float = X_MIN,
+                  x_max: float = X_MAX, weight: str | None = None, taus: int = 40) -> DataFrame:
+    """Sums of every plot at fixed break candidates and whole ranges of the exponents."""
+    low, high = F.lit(float(x_min)), F.lit(float(x_max))
+    return _binned_sums(trees, plot, x, x_min, weight, taus, low, high).withColumns({
+        "tau_low": low, "tau_high": high,
+        "ranges": F.array(*[F.lit(v) for v in (0.0, ALPHA_MAX, 0.0, ALPHA_HIGH_MAX)])})
+
+
+def resolved_sums(trees: DataFrame, plot: str = "PLT_CN", x: str = "DIA", x_min: float = X_MIN,
+                  x_max: float = X_MAX, weight: str | None = None, taus: int = 40,
+                  alphas: int = 40) -> DataFrame:
+    """``two_part_sums`` over ranges that resolve every plot's posterior on all three axes.
+
+    The exponents' ranges are narrowed from the sums alone. Where the break's posterior is narrower
+    than its candidates lie apart, as in plots with very many trees, the trees of those plots are
+    binned again between closer candidates of their own, until the standard deviation spans
+    ``RESOLVED_STEPS`` steps and neither end of the range holds mass. Only the trees of such plots
+    are read again, from a written copy; the ranges are one row per plot. A plot that is not
+    resolved within ``PASSES`` passes raises.
+    """
+    if min(taus, alphas) < LEAST_CELLS:
+        raise ValueError(f"a posterior can be resolved on {LEAST_CELLS} cells or more per axis")
+    kind = dict(trees.dtypes)[plot]
+    columns = [plot, "N_Trees", "W", "N_below", "bins", "tau_low", "tau_high"]
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grids = _Grids(x_min, taus, alphas)
+        for pdf in batches:
+            ranges, nexts, settled = [], [], []
+            for key, n, w, bins, low, high in zip(pdf[plot], pdf["N_Trees"], pdf["W"], pdf["bins"],
+                                                  pdf["tau_low"], pdf["tau_high"]):
+                grid, post = _resolved_exponents(key, grids, (low, high), n, n / w, bins)
+                wanted, done = _next_range(grid.tau, post.sum(axis=(1, 2)), x_min, x_max)
+                ranges.append([*grid.low_range, *grid.high_range])
+                nexts.append(list(wanted))
+                settled.append(done)
+            yield pdf.assign(ranges=ranges, next=nexts, settled=settled)
+
+    def judged(sums: DataFrame) -> DataFrame:
+        cell = "struct<bin: int, w: double, s: double>"
+        return materialize(sums.select(columns).mapInPandas(
+            judge, f"{plot} {kind}, N_Trees long, W double, N_below long, bins array<{cell}>, "
+                   "tau_low double, tau_high double, ranges array<double>, next array<double>, "
+                   "settled boolean"))
+
+    state = judged(two_part_sums(trees, plot, x, x_min, x_max, weight, taus))
+    found, wanted = [], [plot, x] + ([weight] if weight else [])
+    rows = trees.select(wanted).filter(F.col(x) >= F.lit(float(x_min)))
+    for turn in range(PASSES):
+        found.append(state.filter("settled").select(*columns, "ranges"))
+        open_ranges = state.filter(~F.col("settled")).select(
+            plot, F.col("next")[0].alias("tau_low"), F.col("next")[1].alias("tau_high"),
+            F.col("N_below").alias("_below"))
+        if open_ranges.isEmpty():
+            break
+        if turn == 0:
+            # All later passes read only these plots' rows.
+            rows = materialize(rows.join(open_ranges.select(plot), plot, "left_semi"))
+        # A hot plot's rows stay where they are or are split by adaptive execution: the ranges
+        # have one row per plot.
+        ranged = rows.join(open_ranges, plot)
+        sums = _binned_sums(ranged, plot, x, x_min, weight, taus, F.col("tau_low"),
+                            F.col("tau_high")).drop("N_below")
+        state = judged(sums.join(open_ranges.withColumnRenamed("_below", "N_below"), plot))
+    else:
+        raise RuntimeError(f"breaks were not resolved within {PASSES} passes")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return _spread(out, plot)
 
 
 class _TwoPartGrid:
     """A (tau, alpha_low, alpha_high) grid and the plot-independent terms on it."""
 
-    def __init__(self, x_min: float, x_max: float, taus: int, alphas: int,
+    def __init__(self, x_min: float, tau: tuple[float, float], taus: int, alphas: int,
                  low: tuple[float, float] = (0.0, ALPHA_MAX),
                  high: tuple[float, float] = (0.0, ALPHA_HIGH_MAX)):
-        self.shape = (x_min, x_max, taus, alphas)
+        self.low_range, self.high_range = tuple(low), tuple(high)
         half = (np.arange(1, alphas + 1) - 0.5) / alphas
-        self.tau = x_min + (x_max - x_min) * (np.arange(1, taus + 1) - 0.5) / taus
+        self.tau = tau[0] + (tau[1] - tau[0]) * (np.arange(1, taus + 1) - 0.5) / taus
         self.low = low[0] + (low[1] - low[0]) * half
         self.high = high[0] + (high[1] - high[0]) * half
         t = self.tau[:, None, None]
@@ -205,33 +302,55 @@ class _TwoPartGrid:
         post = np.exp(post - post.max())
         return post / post.sum()
 
-    def refined(self, n: float, scale: float, bins: Sequence, zoom: int):
-        """(grid, weights) with the exponents' ranges narrowed until their cells resolve the mass.
-
-        A plot with very many trees has a posterior narrower than a cell of the full range.
-        """
-        grid, post = self, self.weights(n, scale, bins)
-        for _ in range(zoom):
-            low, narrow_low = _closer(grid.low, post.sum(axis=(0, 2)), ALPHA_MAX)
-            high, narrow_high = _closer(grid.high, post.sum(axis=(0, 1)), ALPHA_HIGH_MAX)
-            if not (narrow_low or narrow_high):
-                break
-            grid = _TwoPartGrid(*self.shape, low, high)
-            post = grid.weights(n, scale, bins)
-        return grid, post
 
-
-def _closer(cells: np.ndarray, weights: np.ndarray, top: float) -> tuple[tuple[float, float], bool]:
-    """The range to evaluate next and whether it is worth narrowing."""
+class _Grids:
+    """Grids by their ranges: most plots share the whole ranges, whose powers are then made once."""
+
+    def __init__(self, x_min: float, taus: int, alphas: int):
+        self.shape = (x_min, taus, alphas)
+        self.whole: dict[tuple, _TwoPartGrid] = {}
+
+    def get(self, tau: tuple[float, float], ranges: Sequence[float]) -> _TwoPartGrid:
+        x_min, taus, alphas = self.shape
+        low, high = tuple(ranges[:2]), tuple(ranges[2:])
+        if (low, high) != ((0.0, ALPHA_MAX), (0.0, ALPHA_HIGH_MAX)):
+            return _TwoPartGrid(x_min, tau, taus, alphas, low, high)
+        if tau not in self.whole:
+            self.whole = {tau: _TwoPartGrid(x_min, tau, taus, alphas)}
+        return self.whole[tau]
+
+
+def _resolved_exponents(key: object, grids: _Grids, tau: tuple[float, float], n: float,
+                        scale: float, bins: Sequence):
+    """(grid, weights) whose exponents' cells resolve the mass."""
+    low, high = (0.0, ALPHA_MAX), (0.0, ALPHA_HIGH_MAX)
+    for _ in range(NARROWINGS):
+        grid = grids.get(tau, (*low, *high))
+        post = grid.weights(n, scale, bins)
+        low, low_done = _next_range(grid.low, post.sum(axis=(0, 2)), 0.0, ALPHA_MAX)
+        high, high_done = _next_range(grid.high, post.sum(axis=(0, 1)), 0.0, ALPHA_HIGH_MAX)
+        if low_done and high_done:
+            return grid, post
+    raise RuntimeError(f"exponents of plot {key} were not resolved")
+
+
+def _next_range(cells: np.ndarray, weights: np.ndarray, bottom: float,
+                top: float) -> tuple[tuple[float, float], bool]:
+    """The range to look at next, and whether the present one resolves the mass."""
     step = cells[1] - cells[0]
-    edges = (cells[0] - step / 2, cells[-1] + step / 2)
+    low, high = cells[0] - step / 2, cells[-1] + step / 2
     mean = float(cells @ weights)
     sd = math.sqrt(max(float(((cells - mean) ** 2) @ weights), 0.0))
-    if sd >= 1.5 * step:
-        return edges, False
-    reach = 8 * max(sd, step)
-    wanted = (max(mean - reach, 0.0), min(mean + reach, top))
-    return wanted, wanted[1] - wanted[0] < 0.9 * (edges[1] - edges[0])
+    cut = ((weights[0] > EDGE_MASS and low > bottom + 1e-9 * (top - bottom))
+           or (weights[-1] > EDGE_MASS and high < top - 1e-9 * (top - bottom)))
+    if cut:
+        reach = high - low
+    elif sd < RESOLVED_STEPS * step:
+        # As wide as still resolves the mass: then the next look is the last one if ``sd`` is right.
+        reach = max(len(cells) * sd / (2.2 * RESOLVED_STEPS), 2 * step)
+    else:
+        return (low, high), True
+    return (max(mean - reach, bottom), min(mean + reach, top)), False
 
 
 def _marginal_stats(values: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
@@ -243,37 +362,48 @@ def _marginal_stats(values: np.ndarray, weights: np.ndarray) -> tuple[float, ...
     return mean, sd, q5, median, q95, float(weights[0] + weights[-1])
 
 
-def fit_two_part(sums: DataFrame, plot: str = "PLT_CN", x_min: float = X_MIN,
-                 x_max: float = X_MAX, taus: int = 40, alphas: int = 40,
-                 zoom: int = ZOOM) -> DataFrame:
+def fit_two_part(sums: DataFrame, plot: str = "PLT_CN", x_min: float = X_MIN, taus: int = 40,
+                 alphas: int = 40) -> DataFrame:
     """Posterior summary of alpha_low, alpha_high and tau per plot, one row per variable.
 
-    ``edge_mass`` is the marginal posterior mass in the first and last grid cell: a value near
-    one says that the data do not identify the variable inside its range. ``zoom`` limits how
-    often the exponents' grid is narrowed for plots with many trees; 0 keeps the full range.
+    ``sums`` come from ``resolved_sums`` or, on the whole ranges, ``two_part_sums`` with the same
+    ``taus``. ``edge_mass`` is the marginal posterior mass in the first and last grid cell: a value
+    near one says that the data do not identify the variable inside its range.
     """
     kind = dict(sums.dtypes)[plot]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = _TwoPartGrid(x_min, x_max, taus, alphas)
+        grids = _Grids(x_min, taus, alphas)
         for pdf in batches:
             rows = []
-            for key, n, w, bins in zip(pdf[plot], pdf["N_Trees"], pdf["W"], pdf["bins"]):
-                grid, post = whole.refined(n, n / w, bins, zoom)
+            for key, n, below, grid, post in _posteriors(pdf, plot, grids):
                 for name, values, axes in (("alpha_low", grid.low, (0, 2)),
                                            ("alpha_high", grid.high, (0, 1)),
                                            ("tau", grid.tau, (1, 2))):
-                    rows.append((key, name, n, *_marginal_stats(values, post.sum(axis=axes))))
-            yield pd.DataFrame(rows, columns=[plot, "variable", "N_Trees", "mean", "sd", "q5",
-                                              "median", "q95", "edge_mass"])
-
-    fitted = sums.select(plot, "N_Trees", "W", "bins").mapInPandas(
-        fit, f"{plot} {kind}, variable string, N_Trees long, mean double, sd double, q5 double, "
-             "median double, q95 double, edge_mass double")
+                    rows.append((key, name, n, below,
+                                 *_marginal_stats(values, post.sum(axis=axes))))
+            yield pd.DataFrame(rows, columns=[plot, "variable", "N_Trees", "N_below", "mean", "sd",
+                                              "q5", "median", "q95", "edge_mass"])
+
+    fitted = sums.select(*_sum_columns(plot)).mapInPandas(
+        fit, f"{plot} {kind}, variable string, N_Trees long, N_below long, mean double, sd double, "
+             "q5 double, median double, q95 double, edge_mass double")
     return fitted.withColumn("corrected_slope",
                              slope_from_exponent(F.col("variable"), F.col("mean")))
 
 
+def _sum_columns(plot: str) -> list[str]:
+    return [plot, "N_Trees", "W", "N_below", "bins", "tau_low", "tau_high", "ranges"]
+
+
+def _posteriors(pdf: pd.DataFrame, plot: str, grids: _Grids):
+    """(key, N_Trees, N_below, grid, weights) of every plot."""
+    for key, n, w, below, bins, low, high, ranges in zip(
+            *(pdf[c] for c in _sum_columns(plot))):
+        grid = grids.get((low, high), ranges)
+        yield key, n, below, grid, grid.weights(n, n / w, bins)
+
+
 def two_part_parameters(fitted: DataFrame, plot: str = "PLT_CN") -> DataFrame:
     """Posterior means side by side: plot, alpha_low, alpha_high, tau."""
     return fitted.groupBy(plot).agg(*[
@@ -292,52 +422,62 @@ def pointwise_log_likelihood(trees: DataFrame, parameters: DataFrame, plot: str
 
 # --- draws -------------------------------------------------------------------------------------
 
-def _uniform(seed: str, plot: object, chain: int, iteration: int) -> float:
-    digest = hashlib.md5(f"{seed}|{plot}|{chain}|{iteration}".encode()).hexdigest()
-    return int(digest[:13], 16) / float(1 << 52)
-
-
-_ROWS_PER_BATCH = 100_000
-
-
-def _draw_frames(plot: str, drawn: Iterator[tuple[object, dict[str, np.ndarray]]],
-                 chains: np.ndarray, iterations: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Long frames of a bounded size from per-plot draws."""
-    keys: list = []
-    names: list[str] = []
-    values: list[np.ndarray] = []
-
-    def flush() -> pd.DataFrame:
-        each, parts = len(chains), len(values)
-        return pd.DataFrame({
-            plot: np.repeat(np.array(keys, dtype=object), each),
-            "variable": np.repeat(np.array(names, dtype=object), each),
-            "chain": np.tile(chains, parts), "iteration": np.tile(iterations, parts),
-            "value": np.concatenate(values)})
-
-    for key, by_name in drawn:
-        for name, drawn_values in by_name.items():
-            keys.append(key)
-            names.append(name)
-            values.append(drawn_values)
-        if len(values) * len(chains) >= _ROWS_PER_BATCH:
-            yield flush()
-            keys, names, values = [], [], []
-    if values:
-        yield flush()
-
-
-def _pick(cum: np.ndarray, seed: str, key: object, chains: np.ndarray,
-          iterations: np.ndarray) -> np.ndarray:
-    """Cell index of every (chain, iteration) by inverting the cumulative weights."""
-    u = np.array([_uniform(seed, key, c, i) for c, i in zip(chains, iterations)])
+def _uniforms(plot: str, seed: str, iterations: Sequence[int] | None) -> Column:
+    """One uniform number per (chain, iteration) of a plot: 52 bits of an md5, made by the JVM.
+
+    Each depends on its own plot, chain and iteration only, so some iterations get the numbers that
+    a full table holds for them.
+    """
+    wanted = (F.sequence(F.lit(1), F.lit(KEPT_ITERATIONS)) if iterations is None
+              else F.array(*[F.lit(int(i)) for i in iterations]))
+    key = F.concat_ws("|", F.lit(seed), F.col(plot).cast("string"))
+
+    def of(chain: Column) -> Column:
+        return F.transform(wanted, lambda i: F.conv(F.substring(F.md5(F.concat_ws(
+            "|", key, chain.cast("string"), i.cast("string")).cast("binary")), 1, 13), 16, 10)
+            .cast("double") / F.lit(float(1 << 52)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(CHAINS)), of))
+
+
+def _draw_rows(drawn: DataFrame, plot: str, variables: Sequence[str],
+               iterations: Sequence[int] | None) -> DataFrame:
+    """Long rows from one array of values per plot and variable."""
+    each = KEPT_ITERATIONS if iterations is None else len(iterations)
+    at = F.col("_at")
+    iteration = at % each + 1 if iterations is None else F.element_at(
+        F.array(*[F.lit(int(i)) for i in iterations]), (at % each + 1).cast("int"))
+    long = drawn.select(plot, F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).alias("values")) for v in variables])).alias(
+            "_v")).select(plot, "_v.variable", F.posexplode("_v.values").alias("_at", "value"))
+    return long.select(plot, "variable", (F.floor(at / each) + 1).cast("int").alias("chain"),
+                       iteration.cast("int").alias("iteration"), "value")
+
+
+def _picked(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Cells of some uniform numbers by inverting the cumulative weights."""
     return np.minimum(np.searchsorted(cum, u * cum[-1]), len(cum) - 1)
 
 
-def _draw_keys(iterations: Sequence[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    wanted = np.asarray(iterations if iterations is not None
-                        else np.arange(1, KEPT_ITERATIONS + 1))
-    return np.repeat(np.arange(1, CHAINS + 1), len(wanted)), np.tile(wanted, CHAINS)
+_DRAWS_PER_FRAME = 1_000_000
+
+
+def _frames(rows: Iterator[tuple], names: list[str], each: int) -> Iterator[pd.DataFrame]:
+    """Frames of a bounded number of draws."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) * each * (len(names) - 1) >= _DRAWS_PER_FRAME:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
+def _in_small_batches(sums: DataFrame, plot: str, columns: list[str], seed: str,
+                      iterations: Sequence[int] | None) -> DataFrame:
+    """Sums with their uniform numbers, dealt over all tasks."""
+    return _spread(sums, plot).select(*columns, _uniforms(plot, seed, iterations).alias("_u"))
 
 
 def pareto_draws(sums: DataFrame, plot: str = "PLT_CN", iterations: Sequence[int] | None = None,
@@ -350,46 +490,47 @@ def pareto_draws(sums: DataFrame, plot: str = "PLT_CN", iterations: Sequence[int
     kind = dict(sums.dtypes)[plot]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chains, its = _draw_keys(iterations)
-
         def per_plot():
             for pdf in _plot_blocks(batches):
                 a, w = _posterior_cells(pdf["N_Trees"].to_numpy(dtype=float),
                                         pdf["S"].to_numpy(dtype=float), grid)
                 cum = np.cumsum(w, axis=1)
-                for i, key in enumerate(pdf[plot]):
-                    yield key, {"alpha": a[i][_pick(cum[i], seed, key, chains, its)]}
+                for i, (key, u) in enumerate(zip(pdf[plot], pdf["_u"])):
+                    yield key, a[i][_picked(cum[i], u)]
+
+        yield from _frames(per_plot(), [plot, "alpha"], _draw_count(iterations))
+
+    drawn = _in_small_batches(sums, plot, [plot, "N_Trees", "S"], seed, iterations).mapInPandas(
+        draw, f"{plot} {kind}, alpha array<double>")
+    return _draw_rows(drawn, plot, ["alpha"], iterations)
 
-        yield from _draw_frames(plot, per_plot(), chains, its)
 
-    return _spread(sums, plot).select(plot, "N_Trees", "S").mapInPandas(
-        draw, f"{plot} {kind}, variable string, chain int, iteration int, value double")
+def _draw_count(iterations: Sequence[int] | None) -> int:
+    return CHAINS * (KEPT_ITERATIONS if iterations is None else len(iterations))
 
 
 def two_part_draws(sums: DataFrame, plot: str = "PLT_CN",
                    iterations: Sequence[int] | None = None, seed: str = "draws",
-                   x_min: float = X_MIN, x_max: float = X_MAX, taus: int = 40,
-                   alphas: int = 40, zoom: int = ZOOM) -> DataFrame:
+                   x_min: float = X_MIN, taus: int = 40, alphas: int = 40) -> DataFrame:
     """Joint posterior draws of alpha_low, alpha_high and tau in the same long layout."""
     kind = dict(sums.dtypes)[plot]
+    names = ["alpha_low", "alpha_high", "tau"]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = _TwoPartGrid(x_min, x_max, taus, alphas)
-        chains, its = _draw_keys(iterations)
+        grids = _Grids(x_min, taus, alphas)
 
         def per_plot():
             for pdf in batches:
-                for key, n, w, bins in zip(pdf[plot], pdf["N_Trees"], pdf["W"], pdf["bins"]):
-                    grid, post = whole.refined(n, n / w, bins, zoom)
-                    index = _pick(np.cumsum(post.ravel()), seed, key, chains, its)
+                for (key, _, _, grid, post), u in zip(_posteriors(pdf, plot, grids), pdf["_u"]):
+                    index = _picked(np.cumsum(post.ravel()), u)
                     t, low, high = np.unravel_index(index, post.shape)
-                    yield key, {"alpha_low": grid.low[low], "alpha_high": grid.high[high],
-                                "tau": grid.tau[t]}
+                    yield key, grid.low[low], grid.high[high], grid.tau[t]
 
-        yield from _draw_frames(plot, per_plot(), chains, its)
+        yield from _frames(per_plot(), [plot, *names], _draw_count(iterations))
 
-    return sums.select(plot, "N_Trees", "W", "bins").mapInPandas(
-        draw, f"{plot} {kind}, variable string, chain int, iteration int, value double")
+    drawn = _in_small_batches(sums, plot, _sum_columns(plot), seed, iterations).mapInPandas(
+        draw, f"{plot} {kind}, alpha_low array<double>, alpha_high array<double>, tau array<double>")
+    return _draw_rows(drawn, plot, names, iterations)
 
 
 def keep_draws(draws: DataFrame, iterations: Sequence[int] | None = None,
@@ -419,3 +560,14 @@ def slope_table(summaries: DataFrame, sizes: DataFrame, plot: str = "PLT_CN") ->
         summaries.join(sizes.select(plot, "N_Trees"), on=plot, how="inner")
         .withColumn("corrected_slope", slope_from_exponent(F.col("variable"), F.col("mean")))
     )
+
+
+def measured_slopes(draws: DataFrame, plot: str = "PLT_CN") -> DataFrame:
+    """One row per plot from its draws of ``alpha``: corrected_slope, se_mean, sd."""
+    return (
+        draws.filter(F.col("variable") == "alpha").groupBy(plot)
+        .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+             F.count(F.lit(1)).alias("_n"))
+        .select(plot, slope_from_exponent(F.lit("alpha"), F.col("mean")).alias("corrected_slope"),
+                (F.col("sd") / F.sqrt("_n")).alias("se_mean"), "sd")
+    )

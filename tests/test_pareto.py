@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,31 @@ def test_weights(spark):
     assert two.count() == 3
 
 
+def test_weighted_thinned_slopes(spark):
+    """Whole weights that are the same for all trees of a plot change nothing; others do."""
+    rng = np.random.default_rng(2)
+    df = frame(spark, {"a": pareto_sample(rng, 1.5, 60), "b": pareto_sample(rng, 0.9, 40)})
+    for two_part in (True, False):
+        options = {"inches": False, "two_part": two_part}
+        key = lambda r: (r.PLT_CN, r.variable, r.iteration)
+        plain = {key(r): r["mean"] for r in slopes.thinned_slopes(df, **options).collect()}
+        even = {key(r): r["mean"] for r in slopes.thinned_slopes(
+            df.withColumn("TPA_UNADJ", F.lit(2.0)), weight="TPA_UNADJ", **options).collect()}
+        assert plain.keys() == even.keys() and all(np.isclose(plain[k], even[k]) for k in plain)
+        other = {key(r): r["mean"] for r in slopes.thinned_slopes(
+            df, weight="TPA_UNADJ", **options).collect()}
+        assert any(not np.isclose(plain[k], other[k]) for k in plain)
+
+
+def test_measured_slopes_feed_the_slope_models(spark):
+    rng = np.random.default_rng(21)
+    df = frame(spark, {"a": pareto_sample(rng, 1.5, 60)})
+    fit = pareto.fit_pareto(pareto.pareto_sums(df)).first()
+    row = slopes.full_draw_measurements(df, inches=False).first()
+    assert abs(row.corrected_slope - fit.corrected_slope) < 0.05 * fit.alpha_sd
+    assert np.isclose(row.se_mean, row.sd / np.sqrt(12_000)) and row.N_Trees == 60
+
+
 def test_two_part_recovers_parameters_for_any_partitioning(spark):
     rng = np.random.default_rng(4)
     samples = {"a": two_part_sample(rng, 1.2, 4.0, 30.0, 4000),
@@ -107,23 +133,85 @@ def test_two_part_recovers_parameters_for_any_partitioning(spark):
                       -(first["a", "alpha_low"]["mean"] + 1))
 
 
-def test_many_trees_narrow_the_exponent_grid(spark):
-    rng = np.random.default_rng(12)
-    xs = two_part_sample(rng, 1.23, 3.87, 30.0, 60_000)
-    sums = pareto.two_part_sums(frame(spark, {"a": xs}))
-    coarse = {r.variable: r for r in pareto.fit_two_part(sums, zoom=0).collect()}
-    fine = {r.variable: r for r in pareto.fit_two_part(sums).collect()}
-    assert coarse["alpha_low"].sd < 0.125
-    for name, truth in (("alpha_low", 1.23), ("alpha_high", 3.87)):
-        assert 0 < fine[name].sd < 0.1 and abs(fine[name]["mean"] - truth) < 0.08, name
-        assert fine[name].edge_mass < 1e-6
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_many_trees_resolve_break_and_exponents(spark, n):
+    rng = np.random.default_rng(n)
+    xs = two_part_sample(rng, 1.2, 4.0, 30.0, n)
+    df = spark.createDataFrame(pd.DataFrame({"PLT_CN": "a", "DIA": xs})).repartition(4)
+    fine = {r.variable: r for r in pareto.fit_two_part(pareto.resolved_sums(df)).collect()}
+    for name, truth in (("alpha_low", 1.2), ("alpha_high", 4.0), ("tau", 30.0)):
+        row = fine[name]
+        assert row.sd > 0 and abs(row["mean"] - truth) < 4 * row.sd, name
+        assert row.edge_mass < 1e-3
+        # Standard deviations fall with the root of the number of trees.
+        assert row.sd < {"alpha_low": 10, "alpha_high": 20, "tau": 90}[name] / np.sqrt(n), name
+
+
+def dense_two_part(xs, low, high, tau, cells=120, x_min=12.7):
+    """Means and standard deviations on one dense grid over given ranges."""
+    mid = lambda r: r[0] + (r[1] - r[0]) * (np.arange(cells) + 0.5) / cells
+    t, lo, hi = mid(tau)[:, None, None], mid(low)[None, :, None], mid(high)[None, None, :]
+    logs = np.log(np.sort(xs))
+    k = np.searchsorted(np.sort(xs), t)
+    s_low = np.r_[0, np.cumsum(logs)][k]
+    norm = -np.log(t ** (lo - hi) / lo * (x_min ** -lo - t ** -lo) + t ** -hi / hi)
+    lp = (len(xs) * norm + k * (lo - hi) * np.log(t) - (lo + 1) * s_low
+          - (hi + 1) * (logs.sum() - s_low) - np.log(lo) - (np.log(lo) - 1) ** 2 / 2
+          - np.log(hi) - (np.log(hi) - 1) ** 2 / 2)
+    w = np.exp(lp - lp.max())
+    out = {}
+    for name, values in (("alpha_low", lo), ("alpha_high", hi), ("tau", t)):
+        mean = (w * values).sum() / w.sum()
+        out[name] = (mean, np.sqrt((w * (values - mean) ** 2).sum() / w.sum()))
+    return out
+
+
+def test_resolved_fit_equals_dense_integration_also_beside_a_hot_plot(spark):
+    """One plot holds nine tenths of the rows and needs further passes, the others don't."""
+    rng = np.random.default_rng(15)
+    samples = {"hot": two_part_sample(rng, 1.5, 3.5, 25.0, 30_000),
+               "few": two_part_sample(rng, 1.0, 3.0, 25.0, 15),
+               "some": two_part_sample(rng, 0.4, 5.0, 40.0, 400),
+               "flat": np.full(40, 13.0)}
+    sums = pareto.resolved_sums(frame(spark, samples))
+    kept = {r.PLT_CN: r for r in sums.collect()}
+    assert kept["hot"].tau_high - kept["hot"].tau_low < 10 < kept["few"].tau_high - kept["few"].tau_low
+    got = {(r.PLT_CN, r.variable): r for r in pareto.fit_two_part(sums).collect()}
+    for key, xs in samples.items():
+        r = kept[key]
+        want = dense_two_part(xs, r.ranges[:2], r.ranges[2:], (r.tau_low, r.tau_high))
+        for name, (mean, sd) in want.items():
+            assert abs(got[key, name]["mean"] - mean) < 0.06 * sd, (key, name)
+            assert abs(got[key, name].sd / sd - 1) < 0.06, (key, name)
+            assert got[key, name].N_Trees == len(xs)
+
+
+def test_counts_of_left_out_rows_and_plots(spark):
+    df = spark.createDataFrame(
+        [("a", 20.0, 1.0), ("a", 5.0, 1.0), ("a", 30.0, None), ("a", None, 1.0), ("b", 1.0, 1.0)],
+        "PLT_CN string, DIA double, TPA_UNADJ double")
+    rows = {r.PLT_CN: tuple(r)[1:] for r in pareto.tree_counts(df).collect()}
+    assert rows == {"a": (4, 1, 1, 2, True), "b": (1, 0, 1, 0, False)}
+    rows = {r.PLT_CN: tuple(r)[1:] for r in pareto.tree_counts(df, weight="TPA_UNADJ").collect()}
+    assert rows == {"a": (4, 2, 1, 1, True), "b": (1, 0, 1, 0, False)}
+    assert [(r.N_Trees, r.N_below) for r in pareto.fit_pareto(pareto.pareto_sums(df)).collect()] == [(2, 1)]
+    two = pareto.fit_two_part(pareto.resolved_sums(df)).collect()
+    assert {(r.PLT_CN, r.N_Trees, r.N_below) for r in two} == {("a", 2, 1)}
+    weighted = pareto.two_part_sums(df, weight="TPA_UNADJ").collect()
+    assert [(r.PLT_CN, r.N_Trees, r.N_below) for r in weighted] == [("a", 1, 1)]
+
+
+def test_too_few_cells_cannot_resolve(spark):
+    df = frame(spark, {"a": np.array([20.0, 30.0])})
+    with pytest.raises(ValueError):
+        pareto.resolved_sums(df, alphas=10)
 
 
 def test_two_part_grid_equals_pointwise_likelihood(spark):
     rng = np.random.default_rng(6)
     xs = two_part_sample(rng, 1.0, 3.0, 25.0, 80)
     sums = pareto.two_part_sums(frame(spark, {"a": xs}), taus=6).first()
-    grid = pareto._TwoPartGrid(12.7, 50.0, 6, 5)
+    grid = pareto._TwoPartGrid(12.7, (12.7, 50.0), 6, 5)
     got = grid.weights(sums.N_Trees, sums.N_Trees / sums.W, sums.bins)
     want = np.zeros_like(got)
     for i, t in enumerate(grid.tau):
