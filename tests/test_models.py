@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canopyframe.functions.disturbance import BASE_LEVEL
 from canopyframe.operators import mixedmodel, modeldata, spatial
@@ -191,7 +192,7 @@ def test_region_and_plot_sums_equal_dense_algebra(spark):
             system = mixedmodel._System(cells, 2, ["Fire", "Wind"], REGIONS, "region", "kind")
             for car, spread in ((0.3, 0.5), (0.9, 0.2)):
                 q = regions.precision(car) / spread ** 2
-                theta, var = system.solve(q)
+                theta, var = (v[0] for v in system.solve(q[None]))
                 want, sd, evidence = dense_posterior(data, sigma, sd_plot, spread, car)
                 assert np.allclose(theta, want) and np.allclose(np.sqrt(var), sd)
                 own = system.log_evidence(q[None])[0]
@@ -242,6 +243,126 @@ def test_full_fits_recover_parameters(spark):
     df.unpersist()
 
 
+def test_plot_state_is_free_of_sigma_and_shuffled_once(spark):
+    """Hot plot: half of the rows and all their errors differ, so it spans partitions."""
+    data = model_data(n=600, plots=40, seed=5)
+    data[0][:300] = 0
+    data[1][:300] = data[2][:300] = 0
+    df = model_frame(spark, data)
+    state = mixedmodel.plot_state(df, ["x1", "x2"], "kind")
+    assert not {"sigma", "sd_plot"} & set(state.columns)
+    spans = state.withColumn("_p", F.spark_partition_id()).filter("FINAL_PLT_ID = 'f0'").select(
+        "_p").distinct().count()
+    assert spans > 1
+    got = {(r.sigma, r.sd_plot, r.region, r.kind): r for r in mixedmodel.plot_products(
+        state, [0.2, 0.5], [0.0, 0.3], ["x1", "x2"], "kind").collect()}
+    plot, region, level, x1, x2, error, y = data
+    basis = np.column_stack([np.ones_like(x1), x1, x2, y])
+    for (sigma, sd, reg, kind), r in got.items():
+        here = (np.array(REGIONS)[region] == reg) & (np.array(LEVELS)[level] == kind)
+        total, log_det = np.zeros((4, 4)), 0.0
+        for p in np.unique(plot[here]):
+            own = here & (plot == p)
+            inverse = np.linalg.inv(np.diag(sigma ** 2 + error[own] ** 2) + sd ** 2)
+            total += basis[own].T @ inverse @ basis[own]
+            log_det += np.linalg.slogdet(inverse)[1]
+        assert r.n == here.sum() and np.isclose(r.log_det, log_det)
+        for i in range(4):
+            for j in range(i, 4):
+                assert np.isclose(r[mixedmodel.moment_name(i, j)], total[i, j])
+    assert len(got) == 4 * len({(a, b) for a, b in zip(region, level)})
+
+
+def test_one_plot_alone_and_batches_of_one_row(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        data = model_data(n=12, plots=3, seed=2)
+        df = model_frame(spark, data)
+        many = mixedmodel.plot_cross_products(df, [0.3], [0.2], ["x1", "x2"], "kind").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    few = mixedmodel.plot_cross_products(df, [0.3], [0.2], ["x1", "x2"], "kind").collect()
+    key = lambda r: (r.region, r.kind)
+    for a, b in zip(sorted(many, key=key), sorted(few, key=key)):
+        assert a.n == b.n and np.allclose(a[4:], b[4:])
+
+
+def dense_quantiles(axis, mass, probs=(0.025, 0.5, 0.975)):
+    cum = np.cumsum(mass) - mass / 2
+    return np.exp(np.interp(np.array(probs) * mass.sum(), cum, np.log(axis)))
+
+
+def test_intervals_equal_dense_integration(spark):
+    """All four variance parameters and the coefficients, on a dense grid of dense algebra."""
+    data = model_data(n=90, plots=18, seed=13)
+    df = model_frame(spark, data).cache()
+    fit = mixedmodel.fit_region_plot_model(df, edges_frame(spark, PAIRS), ["x1", "x2"], "kind",
+                                           BASE_LEVEL)
+    plot, region, _, _, _, error, y = data
+    z = np.column_stack([dense_design(data), np.eye(4)[region]])
+    axes = {"sigma": np.geomspace(0.12, 0.7, 24), "sd_plot": np.geomspace(0.0008, 0.9, 56),
+            "car": np.geomspace(0.002, 2000, 16), "sd_region": np.geomspace(0.01, 40, 64)}
+    adjacency = np.zeros((4, 4))
+    for a, b in PAIRS:
+        i, j = REGIONS.index(a), REGIONS.index(b)
+        adjacency[i, j] = adjacency[j, i] = 1
+    points = [(o, s) for o in axes["car"] for s in axes["sd_region"]]
+    q = np.array([(np.diag(adjacency.sum(1)) - o / (1 + o) * adjacency) / s ** 2 for o, s in points])
+    prior = 0.5 * np.linalg.slogdet(q)[1] + np.array([
+        mixedmodel._half_t(s) + np.log(s) + np.log(o) - 2 * np.log1p(o) for o, s in points])
+    full = np.zeros((len(points), 9, 9))
+    full[:, 5:, 5:] = q
+    full[:, range(1, 5), range(1, 5)] += 1 / 25
+    logs, means, variances = [], [], []
+    for sigma in axes["sigma"]:
+        for sd in axes["sd_plot"]:
+            inverse = np.linalg.inv(np.diag(sigma ** 2 + error ** 2)
+                                    + sd ** 2 * (plot[:, None] == plot[None, :]))
+            b = z.T @ inverse @ y
+            a = z.T @ inverse @ z + full
+            cov = np.linalg.inv(a)
+            theta = cov @ b
+            logs.append(0.5 * (np.linalg.slogdet(inverse)[1] - y @ inverse @ y + theta @ b
+                               - np.linalg.slogdet(a)[1]) + prior + mixedmodel._half_normal(sigma)
+                        + np.log(sigma) + mixedmodel._half_t(sd) + np.log(sd))
+            means.append(theta[:, 1])
+            variances.append(cov[:, 1, 1])
+    logs = np.array(logs).reshape(24, 56, 16, 64)
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    got = {r["name"]: r for r in fit.spread.collect()}
+    for k, (name, axis) in enumerate(axes.items()):
+        mass = p.sum(axis=tuple(i for i in range(4) if i != k))
+        assert mass[0] < 0.004 and mass[-1] < 0.004, name
+        want = dense_quantiles(axis, mass)
+        shown = axis / (1 + axis) if name == "car" else axis
+        mean = mass @ shown
+        sd = np.sqrt(mass @ (shown - mean) ** 2)
+        assert abs(got[name]["mean"] - mean) < 0.02 * max(sd, mean), name
+        if name == "car":
+            want = want / (1 + want)
+        for q_name, value in zip(("q2_5", "q50", "q97_5"), want):
+            assert abs(got[name][q_name] - value) < 0.03 * max(sd, value), (name, q_name)
+    weights, means, variances = p.ravel(), np.array(means).ravel(), np.array(variances).ravel()
+    mean = weights @ means
+    sd = np.sqrt(weights @ (variances + means ** 2) - mean ** 2)
+    x1 = {r["term"]: r for r in fit.coefficients.collect()}["x1"]
+    assert abs(x1["mean"] - mean) < 0.02 * sd and abs(x1["sd"] / sd - 1) < 0.02
+    draw = np.random.default_rng(1)
+    sample = draw.choice(len(weights), 200_000, p=weights)
+    values_ = means[sample] + np.sqrt(variances[sample]) * draw.standard_normal(200_000)
+    for name, prob in mixedmodel.QUANTILES.items():
+        assert abs(x1[name] - np.quantile(values_, prob)) < 0.04 * sd
+    df.unpersist()
+
+
+def test_mixture_quantiles_of_one_normal():
+    q = mixedmodel.mixture_quantiles(np.ones(1), np.array([[2.0, -1.0]]), np.array([[3.0, 0.5]]),
+                                     [0.025, 0.5, 0.975])
+    z = 1.959964
+    assert np.allclose(q, [[2 - 3 * z, -1 - 0.5 * z], [2, -1], [2 + 3 * z, -1 + 0.5 * z]], atol=1e-4)
+
+
 def test_plans_end_to_end(spark):
     rng = np.random.default_rng(21)
     slopes, attributes, treatment = [], [], []
