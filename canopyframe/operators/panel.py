@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.functions.keys import md5_bits
+from canopyframe.functions.keys import md5_bits, plot_key
+from canopyframe.operators.prep import TREE_JOIN_KEYS
 from canopyframe.operators.ranking import number_distinct
 from canopyframe.session import materialize
 
@@ -58,6 +59,22 @@ def visit_table(trees: DataFrame, seed: str = SEED) -> DataFrame:
         F.min(ticket).alias("ticket"))
 
 
+def visits_of_trees(trees: DataFrame, plots: DataFrame, seed: str = SEED) -> DataFrame:
+    """``visit_table`` of trees that aren't joined with their plots yet.
+
+    Trees are reduced to their visit's keys first, so the join sees one row per visit.
+    """
+    ticket = md5_bits(F.lit(seed), plot_key(), F.col("CN").cast("string"))
+    reduced = trees.groupBy(*TREE_JOIN_KEYS).agg(F.count(F.lit(1)).alias("_n"),
+                                                 F.min(ticket).alias("_ticket"))
+    return (
+        reduced.join(plots.select(*TREE_JOIN_KEYS, "KINDCD", "Disturbance"), TREE_JOIN_KEYS)
+        .withColumn("pltID", plot_key()).groupBy(*VISIT_KEYS).agg(
+            F.sum("_n").alias("N_trees"), F.bool_or(F.col("KINDCD") == 3).alias("_replaced"),
+            F.bool_or(F.col("Disturbance") != "No").alias("_disturbed"),
+            F.min("_ticket").alias("ticket")))
+
+
 def _history():
     return Window.partitionBy("pltID").orderBy("INVYR").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -94,12 +111,11 @@ def number_plots(rows: DataFrame, name: str = "Plot_Num") -> DataFrame:
     return number_distinct(rows, "pltID", name)
 
 
-def analysis_table(trees: DataFrame, min_trees: int = MIN_TREES, replacement: str = "keep",
-                   seed: str = SEED, number: bool = True) -> DataFrame:
-    """Trees of one sampled visit per plot with counts, history flags and the plot number."""
-    measured = measured_trees(trees)
-    visits = visit_table(measured, seed).filter(F.col("N_trees") >= min_trees)
-    marked = mark_disturbance(mark_replacements(visits, replacement))
+def chosen_visits(visits: DataFrame, min_trees: int = MIN_TREES, replacement: str = "keep",
+                  number: bool = True) -> DataFrame:
+    """The sampled visit of every plot with its counts, history flags and plot number."""
+    kept = visits.filter(F.col("N_trees") >= min_trees)
+    marked = mark_disturbance(mark_replacements(kept, replacement))
     # Same clustering as the history windows, so choosing the visit needs no further shuffle.
     drawn = F.min_by("INVYR", "ticket").over(Window.partitionBy("pltID"))
     chosen = marked.withColumn("_drawn", drawn).filter(F.col("INVYR") == F.col("_drawn")).select(
@@ -108,4 +124,12 @@ def analysis_table(trees: DataFrame, min_trees: int = MIN_TREES, replacement: st
         # One row per plot, written once: numbering and the join below both read it.
         chosen = materialize(chosen)
         chosen = chosen.join(number_plots(chosen), on="pltID", how="full")
+    return chosen
+
+
+def analysis_table(trees: DataFrame, min_trees: int = MIN_TREES, replacement: str = "keep",
+                   seed: str = SEED, number: bool = True) -> DataFrame:
+    """Trees of one sampled visit per plot with counts, history flags and the plot number."""
+    measured = measured_trees(trees)
+    chosen = chosen_visits(visit_table(measured, seed), min_trees, replacement, number)
     return measured.drop("Disturbance").join(chosen, on=VISIT_KEYS, how="inner")

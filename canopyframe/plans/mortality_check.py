@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions.measures import inches_to_cm
 from canopyframe.operators import mortality, panel
+from canopyframe.operators.listed import only_listed
 from canopyframe.session import materialize
 
 
@@ -35,7 +36,9 @@ def analysis_trees(trees: DataFrame, mort: DataFrame, min_trees: int = panel.MIN
     numbered = sizes.join(panel.number_plots(sizes), on="pltID", how="full")
     wanted = candidates.join(numbered, on=panel.VISIT_KEYS, how="inner").select(
         *panel.VISIT_KEYS, "PLT_CN", "Max_Mort_Year", "Year_of_Disturbance", "N_trees", "Plot_Num")
-    measured = panel.measured_trees(trees, first_year=first_year)
-    return measured.join(wanted.dropDuplicates(["INVYR", "PLT_CN", "pltID"]),
-                         on=["INVYR", "PLT_CN", "pltID"], how="inner").withColumn(
+    wanted = materialize(wanted.dropDuplicates(["INVYR", "PLT_CN", "pltID"]))
+    keys = ["INVYR", "PLT_CN", "pltID"]
+    # Few visits are events: the others' trees stop at a filter of fixed size, before any shuffle.
+    measured = only_listed(panel.measured_trees(trees, first_year=first_year), wanted, keys)
+    return measured.join(wanted, on=keys, how="inner").withColumn(
         "DIA", inches_to_cm(F.col("DIA")))

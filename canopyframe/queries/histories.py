@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from canopyframe.operators import mortality, panel
 from canopyframe.operators.ranking import first_per_key
 from canopyframe.plans import mortality_check
-from canopyframe.plans.prepare import analysis_table
+from canopyframe.plans.prepare import analysis_table, analysis_table_from_tables
 from canopyframe.queries.registry import query, r6_sql, rounded, sa
 
 
@@ -102,7 +102,7 @@ def _(fx):
     SELECT TRE_CN, PLT_CN, pltID, INVYR, DIA, N_trees, KINDCD1, Description, Disturbance,
            Plot_Num, {r6_sql('STDAGE')} AS STDAGE FROM {{analysis}}""")
 def _(fx):
-    table = analysis_table(sa(fx), min_trees=10)
+    table = analysis_table_from_tables(fx.fx_cond, fx.fx_plot, fx.fx_tree, fx.fx_macro, min_trees=10)
     return rounded(table.select("TRE_CN", "PLT_CN", "pltID", "INVYR", "DIA", "N_trees", "KINDCD1",
                                 "Description", "Disturbance", "Plot_Num", "STDAGE"), "STDAGE")
 
