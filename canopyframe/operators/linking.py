@@ -8,7 +8,7 @@ of the graph, not with its diameter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from canopyframe.operators.ranking import number_distinct
@@ -77,35 +77,96 @@ def _star_round(links: DataFrame, total: int) -> DataFrame:
     return large.groupBy("hi").agg(F.min("lo").alias("lo")).unionByName(sideways).distinct()
 
 
+def _settled(links: DataFrame, max_rounds: int) -> DataFrame:
+    """Every node's link to its component's smallest node.
+
+    ``links`` (hi, lo) hold numbers, so the rounds' minima are hash aggregates of fixed width. Each
+    round is written to the checkpoint folder and counted while it is written, so neither the
+    lineage nor the loss of an executor makes earlier rounds run again, and none is read for a
+    comparison alone.
+    """
+    links, state = _counted(links)
+    for _ in range(max_rounds):
+        if state[0] == 0:
+            return links
+        links, after = _counted(_star_round(links, state[0]))
+        if state == after:
+            return links
+        state = after
+    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+
+def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """Written links with their count and a sum of hashes."""
+    seen = Observation()
+    kept = materialize(links.observe(
+        seen, F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("hash")))
+    return kept, (seen.get["n"], seen.get["hash"])
+
+
 def connected_components(edges: DataFrame, a: str, b: str, node: str = "node",
                          component: str = "component", max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
-    Each round is written to the checkpoint folder, so neither the lineage nor the loss of an
-    executor makes earlier rounds run again. The number of rounds grows with the logarithm of the
-    graph; ``max_rounds`` only stops a run that would never settle, with an error.
+    Nodes that are text are numbered in their order first and named again at the end. The number of
+    rounds grows with the logarithm of the graph; ``max_rounds`` only stops a run that would never
+    settle, with an error.
     """
     oriented = edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    links = materialize(oriented)
-    state = _fingerprint(links)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
-        links = materialize(_star_round(links, state[0]))
-        before, state = state, _fingerprint(links)
-        if state == before:
-            break
+    if dict(oriented.dtypes)["hi"] in ("int", "bigint"):
+        links = _settled(oriented, max_rounds)
     else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        oriented = materialize(oriented)
+        nodes = oriented.select(F.col("hi").alias("_name")).unionByName(
+            oriented.select(F.col("lo").alias("_name")))
+        numbers = materialize(number_distinct(nodes, "_name", "_number"))
+
+        def swapped(rows: DataFrame, side: str, given: str, wanted: str) -> DataFrame:
+            other = numbers.select(F.col(given).alias(side), F.col(wanted).alias("_new"))
+            return rows.join(other, side).drop(side).withColumnRenamed("_new", side)
+
+        numbered = swapped(swapped(oriented, "hi", "_name", "_number"), "lo", "_name", "_number")
+        found = _settled(numbered.select("hi", "lo"), max_rounds)
+        links = swapped(swapped(found, "hi", "_number", "_name"), "lo", "_number", "_name")
     roots = links.select(F.col("lo").alias(node), F.col("lo").alias(component)).distinct()
     return links.select(F.col("hi").alias(node), F.col("lo").alias(component)).unionByName(roots)
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)),
-                    F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def extended_components(known: DataFrame, edges: DataFrame, a: str, b: str, node: str = "node",
+                        component: str = "component", max_rounds: int = 100) -> DataFrame:
+    """``known`` components after some more ``edges``, as a run over all edges would give them.
+
+    The new edges are mapped to the components their ends are known in, and only that contracted
+    graph is run; the old edges aren't needed.
+    """
+    ends = edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for end in ("_a", "_b"):
+        names = known.select(F.col(node).alias(end), F.col(component).alias("_known"))
+        ends = ends.join(names, end, "left").withColumn(f"{end}c", F.coalesce("_known", end)).drop(
+            "_known")
+    ends = materialize(ends)
+    merged = materialize(connected_components(ends, "_ac", "_bc", "_from", "_to", max_rounds))
+    fresh = ends.select(F.col("_a").alias(node)).unionByName(ends.select(F.col("_b").alias(node)))
+    every = known.select(node, component).unionByName(
+        fresh.distinct().join(known.select(node), node, "left_anti").select(
+            node, F.col(node).alias(component)))
+    return every.join(merged, F.col(component) == F.col("_from"), "left").select(
+        node, F.coalesce("_to", component).alias(component))
+
+
+def with_new_visits(known: DataFrame, visits: DataFrame, new_visits: DataFrame) -> DataFrame:
+    """``plot_components`` of ``visits`` brought up to date with the visits of further surveys.
+
+    ``known`` has the components of the earlier ``visits`` (both as (PLT_CN, FULL_TREE_ID) rows of
+    ``tree_visits``). Only trees that are seen in the new surveys are looked at.
+    """
+    trees = new_visits.select("FULL_TREE_ID").distinct()
+    touched = visits.select("PLT_CN", "FULL_TREE_ID").join(trees, "FULL_TREE_ID", "left_semi")
+    links = visit_links(touched.unionByName(new_visits.select(
+        "PLT_CN", "FULL_TREE_ID"), allowMissingColumns=False).distinct())
+    return extended_components(known, links, "hi", "lo", "PLT_CN", "new_plot_ID")
 
 
 def plot_components(rows: DataFrame, after_year: int = 2001, dense: bool = False) -> DataFrame:

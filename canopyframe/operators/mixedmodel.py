@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ QUANTILES = {"q2_5": 0.025, "q50": 0.5, "q97_5": 0.975}
 MOST_ROUNDS = 40            # of moving the axes; a fit that isn't resolved by then raises
 
 
+@cache
 def moment_name(i: int, j: int) -> str:
     return f"m_{min(i, j)}_{max(i, j)}"
 
@@ -457,13 +459,13 @@ def _fit(rows: DataFrame, sums, covariates: Sequence[str], category: str, base:
     systems: dict = {}
     for _ in range(MOST_ROUNDS):
         if not systems:
-            cells = _bounded_collect(sums(sigma, plot))
+            cells = [c.asDict() for c in _bounded_collect(sums(sigma, plot))]
             if not cells:
                 raise ValueError("no complete row to fit")
             levels = levels_after_base({c[category] for c in cells}, base)
             by_point: dict = {}
             for c in cells:
-                by_point.setdefault((c["sigma"], c.asDict().get("sd_plot")), []).append(c)
+                by_point.setdefault((c["sigma"], c.get("sd_plot")), []).append(c)
             systems = {point: _System(found, len(covariates), levels,
                                       regions.names if regions else [], region, category)
                        for point, found in by_point.items()}

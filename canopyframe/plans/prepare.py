@@ -49,9 +49,9 @@ def analysis_table_from_tables(cond: DataFrame, plot: DataFrame, tree: DataFrame
     with the attributes of just those visits.
     """
     conditions = prep.aggregate_conditions(prep.natural_stands(cond))
-    plots = materialize(prep.plots_with_conditions(prep.annual_plots(plot), conditions).select(
+    plots = prep.plots_with_conditions(prep.annual_plots(plot), conditions).select(
         *prep.TREE_JOIN_KEYS, "Disturbance", "STDAGE", "PLT_CN", "KINDCD", "DESIGNCD", "LON", "LAT",
-        "pltID"))
+        "pltID")
     live = panel.measured_trees(prep.live_trees(prep.select_tree_columns(tree)))
     counted = prep.without_macroplot_trees(live, macro) if macro is not None else live
     visits = panel.visits_of_trees(counted, plots, seed)

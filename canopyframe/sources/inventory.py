@@ -8,11 +8,12 @@ size of a state's file.
 
 from __future__ import annotations
 
+import csv
 import posixpath
 import re
 from collections import defaultdict
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,36 @@ def list_files(spark: SparkSession, folder: str, pattern: str, glob: str = "*.cs
     return sorted(p for p in paths if rx.fullmatch(posixpath.basename(p)))
 
 
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of every file, from one job that keeps each file's first line.
+
+    A line's place is its split's offset and its number inside the split; the aggregate combines on
+    the map side, so a file of any size sends one line per task.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"), "value").filter(
+            (F.col("at") == 0) & (F.trim("value") != ""))
+    first = {unquote(r["path"]): r["value"] for r in lines.groupBy("path").agg(
+        F.min_by("value", "row").alias("value")).collect()}
+    names: dict[str, tuple[str, ...]] = {}
+    out = {}
+    for path in paths:
+        text = _found(first, path)
+        if text not in names:
+            names[text] = tuple(next(csv.reader([text.lstrip("\ufeff")]))) if text else ()
+        out[path] = names[text]
+    return out
+
+
+def _found(first: dict[str, str], path: str) -> str:
+    """The line of ``path``, whose scheme and authority may be written differently."""
+    if path in first:
+        return first[path]
+    bare = urlparse(path).path
+    return next((v for k, v in first.items() if urlparse(k).path == bare), "")
+
+
 def read_csv_files(spark: SparkSession, paths: Sequence[str],
                    schema: T.StructType | None = None,
                    fill_missing: bool = True) -> DataFrame:
@@ -50,8 +81,8 @@ def read_csv_files(spark: SparkSession, paths: Sequence[str],
     if not paths:
         raise FileNotFoundError("no matching CSV file")
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        by_header[tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)].append(path)
+    for path, header in _headers(spark, paths).items():
+        by_header[header].append(path)
     if schema is not None:
         declared = {f.name: f.dataType for f in schema.fields}
     else:

@@ -8,6 +8,9 @@ from canopyframe.plans.link_plots import trees_with_plot_ids
 from conftest import as_dict
 
 
+ROWS = "PLT_CN string, FULL_TREE_ID string, INVYR int"
+
+
 def brute_components(edges):
     parent = {}
 
@@ -43,11 +46,49 @@ def test_long_chain_settles_in_few_rounds(spark):
     assert set(found) == set(names) and set(found.values()) == {"0000"}
 
 
-def test_no_edges(spark):
-    assert components(spark, [("a", "a")]) == {}
+def test_numbers_as_nodes(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = as_dict(linking.connected_components(df, "a", "b"), "node", "component")
+    assert found == brute_components(edges)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_added_edges_equal_a_run_from_scratch(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: f"n{rng.randrange(120):03d}"
+    old = [(name(), name()) for _ in range(60)]
+    new = [(name(), name()) for _ in range(25)] + [("z1", "z2"), ("z2", "z3"), ("z9", "z9")]
+    schema = "a string, b string"
+    known = linking.connected_components(spark.createDataFrame(old, schema), "a", "b")
+    grown = linking.extended_components(known, spark.createDataFrame(new, schema), "a", "b")
+    assert as_dict(grown, "node", "component") == brute_components(old + new)
+    assert grown.count() == len(brute_components(old + new))
+    same = linking.extended_components(known, spark.createDataFrame([], schema), "a", "b")
+    assert as_dict(same, "node", "component") == brute_components(old)
+
+
+def test_a_survey_year_added_to_a_map_equals_the_run_from_scratch(spark):
+    rng = random.Random(8)
+    rows = [(f"p{rng.randrange(80):02d}-{year}", f"t{rng.randrange(90)}", year)
+            for year in (2002, 2005, 2009) for _ in range(60)]
+    df = spark.createDataFrame(rows, ROWS)
+    before, after = df.filter("INVYR < 2009"), df.filter("INVYR = 2009")
+    known = linking.plot_components(before)
+    grown = linking.with_new_visits(known, linking.tree_visits(before), linking.tree_visits(after))
+    assert as_dict(grown, "PLT_CN", "new_plot_ID") == as_dict(
+        linking.plot_components(df), "PLT_CN", "new_plot_ID")
 
 
-ROWS = "PLT_CN string, FULL_TREE_ID string, INVYR int"
+def test_rounds_use_hash_aggregates(spark):
+    links = spark.createDataFrame([(2, 1), (3, 2)], "hi long, lo long")
+    plan = linking._star_round(links, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_no_edges(spark):
+    assert components(spark, [("a", "a")]) == {}
 
 
 def test_star_links_connect_what_pairs_connect(spark):

@@ -133,3 +133,26 @@ def test_bundle_of_all_states_and_bad_fields(spark, tmp_path):
     (tmp_path / "CA_PLOT.csv").write_text("CN,INVYR\n3,not a year\n")
     with pytest.raises(Exception, match="MALFORMED|Malformed"):
         inventory.scan_table(spark, str(tmp_path), "PLOT", ["CA"]).select("CN", "INVYR").collect()
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    """200 files with three layouts; a value holds a comma, a name is quoted."""
+    layouts = ['CN,INVYR,"PLOT"', "PLOT,CN,INVYR", "\nINVYR,CN"]
+    for k in range(200):
+        row = {"CN": f'"a,{k}"', "INVYR": "2005", "PLOT": str(k)}
+        names = layouts[k % 3].strip().replace('"', "").split(",")
+        (tmp_path / f"f{k:03d}.csv").write_text(
+            layouts[k % 3] + "\n" + ",".join(row[n] for n in names) + "\n")
+    paths = inventory.list_files(spark, str(tmp_path), r".*\.csv")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        df = inventory.read_csv_files(spark, paths)
+        jobs = len(tracker.getJobIdsForGroup("headers"))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+    # Two for the headers (a map side and a result), and Spark's listing of many paths for the
+    # headers and once per layout.
+    assert len(paths) == 200 and jobs <= 2 + 1 + 3
+    rows = {r.CN: (r.INVYR, r.PLOT) for r in df.select("CN", "INVYR", "PLOT").collect()}
+    assert rows == {f"a,{k}": ("2005", str(k) if k % 3 < 2 else None) for k in range(200)}
