@@ -75,10 +75,30 @@ def _(fx):
     return rounded(out, *out.columns)
 
 
-@query("a11_p_values")
+# Two-sided p of Student's t by Simpson's rule: the density from 0 to |t| over that from 0 to 60.
+_P_STEPS = {
+    "t_values": f"""
+        SELECT dof, unnest([1, 2]) AS term, abs(unnest([{_LINE_COLUMNS['slope_t']},
+               {_LINE_COLUMNS['intercept_t']}])) AS t FROM {{line}}""",
+    "t_parts": """
+        SELECT term, sum(c * (1 + (least(t, 60) * k / 4000) ** 2 / dof) ** (-(dof + 1) / 2.0E0))
+                     * any_value(least(t, 60)) AS inner_part,
+               sum(c * (1 + (60.0E0 * k / 4000) ** 2 / dof) ** (-(dof + 1) / 2.0E0)) * 60 AS whole
+        FROM {t_values}, (SELECT k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+                          AS c FROM range(4001) AS g(k))
+        GROUP BY term""",
+}
+
+
+@query("a11_p_values", f"""
+    SELECT (SELECT n FROM {{line}}) AS n,
+           max({r6_sql('greatest(1 - inner_part / whole, 0)')}) FILTER (term = 1) AS slope_p,
+           max({r6_sql('greatest(1 - inner_part / whole, 0)')}) FILTER (term = 2) AS intercept_p
+    FROM {{t_parts}}""", line=_LINE, **_P_STEPS)
 def _(fx):
-    return regression.with_p_values(regression.with_errors(
+    out = regression.with_p_values(regression.with_errors(
         regression.regression_sums(_points(fx)))).select("n", "slope_p", "intercept_p")
+    return rounded(out, "slope_p", "intercept_p")
 
 
 _CORRELATION = r6_sql(
@@ -123,52 +143,69 @@ def _(fx):
     return rounded(density2d.hexagon_counts(_points(fx)), "hex_x", "hex_y")
 
 
-_N = 20
-
-
-_KERNEL = {
-    "spots": "SELECT x, y, count(*) AS copies FROM {points} GROUP BY x, y",
-    "width": """
-        SELECT 1.06 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25))
-                            / 1.34) * count(*) ** -0.2E0 AS hx,
-               1.06 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25))
-                            / 1.34) * count(*) ** -0.2E0 AS hy,
-               count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1
-        FROM {points}""",
-    "gx": f"""
-        SELECT i, x, exp(-0.5 * ((x0 + i * (x1 - x0) / {_N - 1} - x) / hx) ** 2) AS kx
-        FROM (SELECT DISTINCT x FROM {{spots}}), {{width}}, range({_N}) AS r(i)""",
-    "gxy": "SELECT i, y, sum(copies * kx) AS kx FROM {spots} JOIN {gx} USING (x) GROUP BY i, y",
-    "gy": f"""
-        SELECT i, j, kx * exp(-0.5 * ((y0 + j * (y1 - y0) / {_N - 1} - y) / hy) ** 2) AS k
-        FROM {{gxy}}, {{width}}, range({_N}) AS r(j)""",
-    "summed": "SELECT i, j, sum(k) AS k FROM {gy} GROUP BY i, j",
-}
+def _kernel_steps(n: int) -> dict[str, str]:
+    return {
+        "spots": "SELECT x, y, count(*) AS copies FROM {points} GROUP BY x, y",
+        "width": """
+            SELECT 1.06 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25))
+                                / 1.34) * count(*) ** -0.2E0 AS hx,
+                   1.06 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25))
+                                / 1.34) * count(*) ** -0.2E0 AS hy,
+                   count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1
+            FROM {points}""",
+        "gx": f"""
+            SELECT i, x, exp(-0.5 * ((x0 + i * (x1 - x0) / {n - 1} - x) / hx) ** 2) AS kx
+            FROM (SELECT DISTINCT x FROM {{spots}}), {{width}}, range({n}) AS r(i)""",
+        "gxy": "SELECT i, y, sum(copies * kx) AS kx FROM {spots} JOIN {gx} USING (x) GROUP BY i, y",
+        "gy": f"""
+            SELECT i, j, kx * exp(-0.5 * ((y0 + j * (y1 - y0) / {n - 1} - y) / hy) ** 2) AS k
+            FROM {{gxy}}, {{width}}, range({n}) AS r(j)""",
+        "summed": "SELECT i, j, sum(k) AS k FROM {gy} GROUP BY i, j",
+    }
+
+
+
+def _kernel_sql(n: int) -> str:
+    return f"""
+        SELECT {r6_sql(f'x0 + i * (x1 - x0) / {n - 1}')} AS x,
+               {r6_sql(f'y0 + j * (y1 - y0) / {n - 1}')} AS y,
+               {r6_sql('1000 * k / (n * hx * hy * 2 * pi())')} AS density
+        FROM {{summed}}, {{width}}"""
+
+
+def _kernel(fx, n: int):
+    density = density2d.kernel_density(_points(fx), n)
+    return rounded(density.withColumn("density", F.col("density") * 1000), "x", "y", "density")
 
 
-@query("a14_kernel_density", f"""
-    SELECT {r6_sql(f'x0 + i * (x1 - x0) / {_N - 1}')} AS x,
-           {r6_sql(f'y0 + j * (y1 - y0) / {_N - 1}')} AS y,
-           {r6_sql('1000 * k / (n * hx * hy * 2 * pi())')} AS density
-    FROM {{summed}}, {{width}}""", **_KERNEL)
+@query("a14_kernel_density", _kernel_sql(20), **_kernel_steps(20))
 def _(fx):
-    density = density2d.kernel_density(_points(fx), _N)
-    return rounded(density.withColumn("density", F.col("density") * 1000), "x", "y", "density")
+    return _kernel(fx, 20)
 
 
-@query("a14_kernel_density_full_grid")
+@query("a14_kernel_density_full_grid", _kernel_sql(75), **_kernel_steps(75))
 def _(fx):
-    return density2d.kernel_density(_points(fx))
+    return _kernel(fx, 75)
+
+
+# The 97.5 % quantile of Student's t by its expansion around the normal one, exact to the sixth
+# decimal from some forty degrees of freedom on.
+_Z = 1.959963984540054
+_T_SQL = (f"({_Z} + {(_Z ** 3 + _Z) / 4!r} / dof + {(5 * _Z ** 5 + 16 * _Z ** 3 + 3 * _Z) / 96!r} / dof ** 2"
+          f" + {(3 * _Z ** 7 + 19 * _Z ** 5 + 17 * _Z ** 3 - 15 * _Z) / 384!r} / dof ** 3)")
+_SE_SQL = "sigma * sqrt(1.0E0 / n + (x - mx) ** 2 / sxx)"
 
 
 @query("a15_fitted_line", f"""
-    SELECT {r6_sql('x')} AS x, {r6_sql('intercept + slope * x')} AS fit,
-           {r6_sql('sigma * sqrt(1.0E0 / n + (x - mx) ** 2 / sxx)')} AS se
+    SELECT {r6_sql('x')} AS x, {r6_sql('intercept + slope * x')} AS fit, {r6_sql(_SE_SQL)} AS se,
+           {r6_sql(f'intercept + slope * x - {_T_SQL} * {_SE_SQL}')} AS lower,
+           {r6_sql(f'intercept + slope * x + {_T_SQL} * {_SE_SQL}')} AS upper
     FROM {{line}}, (SELECT x0 + (x1 - x0) * k / 79 AS x
                     FROM (SELECT min(x) AS x0, max(x) AS x1 FROM {{points}}), range(80) AS r(k))""",
        line=_LINE)
 def _(fx):
-    return rounded(regression.fitted_line(_points(fx)).select("x", "fit", "se"), "x", "fit", "se")
+    line = regression.fitted_line(_points(fx))
+    return rounded(line, *line.columns)
 
 
 @query("exact_quantiles_by_state", f"""

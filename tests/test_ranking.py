@@ -46,6 +46,61 @@ def test_group_summaries_agree_on_both_paths(spark):
     assert small["one"].sd is None and small["one"].mad == 0.0
 
 
+def hot_rows(spark):
+    """One key holds most rows; its values are spread over twelve decades, tied and negative."""
+    rng = np.random.default_rng(9)
+    values = {"hot": np.r_[10.0 ** rng.uniform(-6, 6, 3000), -(10.0 ** rng.uniform(-3, 3, 1500)),
+                           np.repeat(5.0, 700), np.zeros(300)],
+              "flat": np.repeat(2.0, 900), "small": rng.normal(size=40), "one": np.array([1.5])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs]
+    rows += [(None, float(v)) for v in range(800)]
+    values[None] = np.arange(800.0)
+    return values, spark.createDataFrame(rows, "k string, v double").repartition(8)
+
+
+def test_counting_passes_equal_numpy_for_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 500)
+    values, df = hot_rows(spark)
+    small, large = ranking._split(df, ["k"], "v")
+    assert {r.k for r in large.select("k").distinct().collect()} == {"hot", "flat", None}
+    probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.951, "e": 1.0}
+    got = {r.k: r for r in ranking.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        for name, p in probs.items():
+            assert np.isclose(got[k][name], np.quantile(vs, p), rtol=1e-12, atol=0), (k, name)
+    whole = ranking.exact_quantiles(df, [], "v", {"m": 0.5}).first()
+    assert whole.m == np.median(np.concatenate(list(values.values())))
+    summaries = {r.k: r for r in ranking.summarise_groups(df, ["k"], "v").collect()}
+    for k, vs in values.items():
+        mad = 1.4826 * np.median(np.abs(vs - np.median(vs)))
+        assert np.isclose(summaries[k].mad, mad) and np.isclose(summaries[k].q95, np.quantile(vs, 0.95))
+
+
+def test_counting_shuffles_no_rows(spark, monkeypatch):
+    """Neither a range exchange nor more than one row per cell and task."""
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 500)
+    _, df = hot_rows(spark)
+    sorts = []
+    monkeypatch.setattr(ranking, "_range_sorted", lambda *a: sorts.append(a))
+    ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()
+    assert not sorts
+
+
+def test_values_that_cannot_be_counted_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 5)
+    vs = [1e-300, 1.0, 1e300, float("inf"), -float("inf"), 2.0, 3.0, 0.0, 5e-324, 7.0]
+    df = spark.createDataFrame([(1, v) for v in vs], "k int, v double")
+    row = ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.25}).first()
+    assert row.m == np.quantile(vs, 0.5) and row.q == np.quantile(vs, 0.25)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect() == []
+    assert ranking.exact_quantiles(df, [], "v", {"m": 0.5}).first().m is None
+
+
 def test_first_per_key_limits_rows_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     out = ranking.first_per_key(df, ["k"], [F.col("v").desc()])
