@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from canopyframe.functions.disturbance import BASE_LEVEL
 from canopyframe.operators import mixedmodel, modeldata, spatial
+from canopyframe.plans.slopes import full_draw_measurements
 from canopyframe.session import materialize
 
 
@@ -16,6 +18,21 @@ def disturbance_type_rows(slopes: DataFrame, attributes: DataFrame,
     return modeldata.with_covariates(kept)
 
 
+def own_measurements(trees: DataFrame, plots: DataFrame, regions: DataFrame, table: DataFrame,
+                     **options) -> tuple[DataFrame, DataFrame]:
+    """(slopes, attributes) of the sampled visits in ``table``, from this library's own fits.
+
+    ``trees`` are the size-abundance rows, ``plots`` the plots with their conditions, ``regions``
+    gives ECODE_NAME by STATECD. What comes out is what ``disturbance_type_rows`` takes.
+    """
+    measured = full_draw_measurements(table, **options).drop("N_Trees")
+    attributes = (
+        plots.join(modeldata.max_height(trees), "PLT_CN").join(regions, "STATECD")
+        .select("PLT_CN", F.col("pltID").alias("FINAL_PLT_ID"), "STDAGE", "DSTRBCD1", "MAX_HEIGHT",
+                "ECODE_NAME"))
+    return measured, attributes
+
+
 def time_since_rows(slopes: DataFrame, attributes: DataFrame) -> DataFrame:
     rows = modeldata.model_rows(modeldata.slopes_with_attributes(slopes, attributes))
     followed = modeldata.follow_disturbance(rows, modeldata.triggering_disturbance(rows))

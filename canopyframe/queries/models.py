@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopyframe.functions import disturbance as dist
-from canopyframe.operators import mixedmodel, modeldata
+from canopyframe.operators import mixedmodel, modeldata, prep
 from canopyframe.plans import slope_models
+from canopyframe.plans.prepare import analysis_table
+from canopyframe.queries import fits
 from canopyframe.queries.registry import query, r6_sql, rounded, sa
+from canopyframe.session import materialize
 
 
 def _model_rows(fx):
@@ -140,6 +143,59 @@ def _(fx):
     return slope_models.fit_disturbance_type(rows, fx.fx_adj).table()
 
 
+# --- from trees to the regression ----------------------------------------------------------------
+
+def _own_rows(fx):
+    trees = materialize(sa(fx))
+    conditions = prep.aggregate_conditions(prep.natural_stands(fx.fx_cond))
+    plots = prep.plots_with_conditions(prep.annual_plots(fx.fx_plot), conditions)
+    regions = fx.nation.select(F.col("n_nationkey").cast("int").alias("STATECD"),
+                               F.col("n_name").alias("ECODE_NAME"))
+    table = analysis_table(trees, min_trees=10, number=False)
+    slopes, attributes = slope_models.own_measurements(trees, plots, regions, table)
+    treatment = attributes.select("PLT_CN", F.when(F.col("STDAGE") % 4 == 0, "Yes").otherwise("No")
+                                  .alias("Treated"))
+    return slope_models.disturbance_type_rows(slopes, attributes, treatment)
+
+
+_OWN_STEPS = {
+    **fits._grid_steps("sums"),
+    "own_slopes": """
+        SELECT PLT_CN, -(avg(a) + 1) AS corrected_slope,
+               stddev_samp(a) / sqrt(count(*)) / nullif(stddev_samp(a), 0) AS error
+        FROM (SELECT d.PLT_CN, a FROM (
+                SELECT PLT_CN, ('0x' || substr(md5(concat_ws('|', 'draws', PLT_CN, chain, iteration)),
+                                1, 13))::BIGINT / 4503599627370496.0E0 AS u
+                FROM {sums}, range(1, 5) AS c(chain), range(1, 3001) AS i(iteration)) d
+              ASOF JOIN (SELECT PLT_CN, a, cum / total AS share FROM {cumulated}) c
+                ON d.PLT_CN = c.PLT_CN AND d.u <= c.share)
+        GROUP BY PLT_CN""",
+    "own_rows": """
+        SELECT s.*, p.STDAGE, p.DSTRBCD1, n_name AS region, h.MAX_HEIGHT
+        FROM {own_slopes} s JOIN {plotcond} p USING (PLT_CN)
+        JOIN (SELECT PLT_CN, max(ACTUALHT) AS MAX_HEIGHT FROM {sa} GROUP BY PLT_CN) h USING (PLT_CN)
+        JOIN nation ON n_nationkey = p.STATECD
+        WHERE STDAGE <= 900 AND STDAGE > 0 AND DSTRBCD1 IN (0, 10, 22, 46, 40, 30, 31, 80, 52)
+          AND MAX_HEIGHT > 0 AND corrected_slope < 0 AND NOT (DSTRBCD1 = 0 AND STDAGE % 4 = 0)""",
+}
+
+
+@query("m7_j10_own_model_rows", f"""
+    SELECT PLT_CN, region, floor(corrected_slope * 1e8 + 0.5) / 1e8 AS y, {r6_sql('error')} AS error,
+           {r6_sql('log10(STDAGE)')} AS log_age, {r6_sql('log10(MAX_HEIGHT)')} AS log_height
+    FROM {{own_rows}}""", **_OWN_STEPS)
+def _(fx):
+    """Rows of the disturbance model whose slopes and errors come from this library's draws."""
+    rows = _own_rows(fx).select("PLT_CN", "region", (F.floor(F.col("y") * 1e8 + 0.5) / 1e8).alias("y"),
+                                "error", "log_age", "log_height")
+    return rounded(rows, "error", "log_age", "log_height")
+
+
+@query("m9_model_of_own_fits")
+def _(fx):
+    return slope_models.fit_disturbance_type(_own_rows(fx), fx.fx_adj).table()
+
+
 @query("m10_time_since_model")
 def _(fx):
     rows = slope_models.time_since_rows(fx.fx_slopes, fx.fx_attributes)
