@@ -15,27 +15,29 @@ from canopyframe.llm.common import NO_ID, table, written
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with what identifies a document to the operators: its id and a hash of its text."""
-    return docs.withColumns({"_i": F.coalesce("doc_id", F.lit(NO_ID)),
-                             "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """(i, th, row): what identifies a document to the operators, its id and a hash of its text, and
+    its whole row in a structure, so that no column name can clash."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
+                       F.struct("*").alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine, trained on ``labels``, doesn't reject."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), columns=others)
-    return scored.filter("predicted = 0").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    scored = toxicity.score_documents(rows, table(spark, sf_dir, "labels"), columns=["row"])
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the smallest id, once if its row repeats."""
     first = (neardup.classes(docs).filter("first")
-             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), F.col("text_hash").alias("_th"))
+             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("th"))
              .distinct())
     # The window runs in the order of the join before it, without another shuffle.
-    place = F.row_number().over(Window.partitionBy("_i", "_th").orderBy("_i", "_th"))
-    return (_keys(docs).join(first, ["_i", "_th"]).withColumn("_n", place).filter("_n = 1")
-            .select(docs.columns))
+    place = F.row_number().over(Window.partitionBy("i", "th").orderBy("i", "th"))
+    return (_keys(docs).join(first, ["i", "th"]).withColumn("place", place).filter("place = 1")
+            .select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,23 +45,23 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left is dropped.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = repeats.remove_repeats(docs, columns=["text", *others])
-    out = cut.filter("n_removed = 0 or n_removed < n_bytes").select(
-        "doc_id", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept"))
-        .otherwise(F.col("extra.text")).alias("text"), *(f"extra.{c}" for c in others))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text"))
-                             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    cut = repeats.remove_repeats(rows, columns=["row"]).filter("n_removed = 0 or n_removed < n_bytes")
+    removed = F.col("n_removed") > 0
+    row = "extra.row"
+    new = {"text": F.when(removed, F.col("kept")).otherwise(F.col(f"{row}.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(removed, F.length("kept")).otherwise(F.col(f"{row}.n_chars")).cast(
+            docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty lies in a benchmark window."""
     judged = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = judged.filter("contaminated").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), F.col("text_hash").alias("_th")).distinct()
-    return _keys(docs).join(bad, ["_i", "_th"], "left_anti").select(docs.columns)
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("th")).distinct()
+    return _keys(docs).join(bad, ["i", "th"], "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

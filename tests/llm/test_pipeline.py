@@ -90,3 +90,24 @@ def test_stages_keep_the_columns_and_survive_empty_tables(spark, tmp_path):
             docs = stage(spark, docs, folder)
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == (2 if data else 0)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns called like what the stages work with come out as they went in."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string"
+                          ).write.parquet(f"{folder}/benchmark.parquet")
+    extra = ["i", "th", "row", "place", "_i", "_th", "_n", "predicted", "score", "_score", "_held",
+             "n_removed", "n_bytes", "kept", "extra", "text_hash", "first", "u", "key", "comp"]
+    words = [f"word{k} " * 30 for k in range(4)]
+    rows = [(k, t, "en", "s", len(t), *[f"{c}{k}" for c in extra]) for k, t in enumerate(words)]
+    schema = DOCS + "".join(f", {c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        for r in docs.collect():
+            assert [r[c] for c in extra] == [f"{c}{r['doc_id']}" for c in extra]
+    assert docs.count() == 4
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 4
