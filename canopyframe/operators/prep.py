@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ def natural_stands(cond: DataFrame) -> DataFrame:
     return cond.filter(F.col("STDORGCD") == 0)
 
 
+def with_known_age(cond: DataFrame) -> DataFrame:
+    return cond.dropna(subset=["STDAGE"])
+
+
+def stacked(parts: Sequence[DataFrame], fill_missing: bool = False) -> DataFrame:
+    """Rows of all parts by column name; a column that a part lacks is NULL there if allowed."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=fill_missing)
+    return out
+
+
 def annual_plots(plot: DataFrame) -> DataFrame:
     """Without periodic (0) and modelled periodic (4) plots; unknown kinds go too."""
     return plot.filter(~F.col("KINDCD").isin(0, 4))
@@ -42,8 +56,7 @@ def aggregate_conditions(cond: DataFrame) -> DataFrame:
     """One row per plot visit: area-weighted stand age, code sums and the disturbed flag."""
     codes = ["DSTRBCD1", "DSTRBCD2", "DSTRBCD3"]
     return (
-        cond.withColumn("pltID", plot_key())
-        .dropna(subset=["STDAGE"])
+        with_known_age(cond.withColumn("pltID", plot_key()))
         .groupBy(*VISIT_KEYS)
         .agg(weighted_mean("STDAGE", "CONDPROP_UNADJ").alias("STDAGE"),
              *[code_sum(c).alias(c) for c in codes])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +10,11 @@ from pyspark.sql import types as T
 from canopyframe.functions.student import t_quantile, two_sided_p
 from canopyframe.operators.ranking import exact_quantiles
 
-_two_sided_p = F.udf(lambda t, dof: None if t is None or dof is None else two_sided_p(t, dof),
-                     T.DoubleType())
+
+@F.pandas_udf(T.DoubleType())
+def _two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else two_sided_p(a, b)
+                      for a, b in zip(t, dof)], dtype="float64")
 
 
 def complete_points(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,9 +86,11 @@ def correlation(points: DataFrame) -> DataFrame:
 
 def fitted_line(points: DataFrame, steps: int = 80, level: float = 0.95) -> DataFrame:
     """The line on an even grid over the range of ``x`` with its standard error and band."""
-    half_width = F.udf(lambda dof: None if dof is None or dof < 1
-                       else t_quantile(0.5 + level / 2, dof),
-                       T.DoubleType())
+    @F.pandas_udf(T.DoubleType())
+    def half_width(dof: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(d) or d < 1 else t_quantile(0.5 + level / 2, d)
+                          for d in dof], dtype="float64")
+
     ends = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     one = (
         with_errors(regression_sums(points)).withColumn("_t", half_width("dof"))

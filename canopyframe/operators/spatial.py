@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+NAMED = 20     # problems that an error names
+
 
 def regions_in(rows: DataFrame, column: str = "region") -> DataFrame:
     return rows.select(F.col(column).alias("region")).distinct()
@@ -55,7 +57,8 @@ def adjacency_problems(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 def checked_edges(edges: DataFrame, regions: DataFrame) -> DataFrame:
     """Restricted edges, or an error naming what makes them unusable for the spatial model."""
-    problems = adjacency_problems(edges, regions).orderBy("problem", "region").take(20)
+    problems = adjacency_problems(edges, regions).orderBy("problem", "region").take(NAMED + 1)
     if problems:
-        raise ValueError("; ".join(f"{p.problem}: {p.region}" for p in problems))
+        rest = "; and more" if len(problems) > NAMED else ""
+        raise ValueError("; ".join(f"{p.problem}: {p.region}" for p in problems[:NAMED]) + rest)
     return restrict_edges(edges, regions)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from canopyframe.functions import disturbance as dist
 from canopyframe.functions import measures
 from canopyframe.functions.keys import plot_key, text_key
-from canopyframe.operators import prep
+from canopyframe.operators import pareto, prep
 from canopyframe.queries.registry import query, r6, r6_sql, rounded, sa
 from canopyframe.sources.adjacency import adjacency_edges
 
@@ -31,7 +31,7 @@ def _(fx):
     SELECT STATECD, count(*) AS n, sum(INVYR)::BIGINT AS years FROM {fx_cond} GROUP BY STATECD""")
 def _(fx):
     low, high = fx.fx_cond.filter("STATECD < 12"), fx.fx_cond.filter("STATECD >= 12")
-    both = low.unionByName(high)
+    both = prep.stacked([low, high])
     return both.groupBy("STATECD").agg(F.count(F.lit(1)).alias("n"), F.sum("INVYR").alias("years"))
 
 
@@ -40,7 +40,7 @@ def _(fx):
 def _(fx):
     low = fx.fx_plot.filter("STATECD < 12").select("CN", "KINDCD", "STATECD")
     high = fx.fx_plot.filter("STATECD >= 12").select("STATECD", "CN")
-    return low.unionByName(high, allowMissingColumns=True)
+    return prep.stacked([low, high], fill_missing=True)
 
 
 @query("p1_p3_select_drop_rename", """
@@ -132,7 +132,7 @@ def _(fx):
 
 @query("p16_a10_group_size", "SELECT PLT_CN, count(*) AS N_Trees FROM {fx_tree} GROUP BY PLT_CN")
 def _(fx):
-    return fx.fx_tree.groupBy("PLT_CN").agg(F.count(F.lit(1)).alias("N_Trees"))
+    return pareto.tree_counts(fx.fx_tree).select("PLT_CN", F.col("N_rows").alias("N_Trees"))
 
 
 @query("f1_natural_stands", """
@@ -154,8 +154,7 @@ def _(fx):
 @query("f4_drop_missing_age", """
     SELECT STATECD, count(*) AS n FROM {fx_cond} WHERE STDAGE IS NOT NULL GROUP BY STATECD""")
 def _(fx):
-    return (fx.fx_cond.dropna(subset=["STDAGE"]).groupBy("STATECD")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return prep.with_known_age(fx.fx_cond).groupBy("STATECD").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a1_weighted_mean", _CONDITIONS_SQL)

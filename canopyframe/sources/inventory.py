@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from canopyframe import schemas
 from canopyframe.functions.measures import null_if_nan
+from canopyframe.operators.prep import stacked
 from canopyframe.sources.catalog import (
     CONTIGUOUS_STATES,
     check_states,
@@ -87,19 +88,18 @@ def read_csv_files(spark: SparkSession, paths: Sequence[str],
         declared = {f.name: f.dataType for f in schema.fields}
     else:
         declared = {c: T.StringType() for header in by_header for c in header}
-    stacked = None
+    parts = []
     for header, files in by_header.items():
         missing = [c for c in declared if c not in header]
         if missing and not fill_missing:
             raise ValueError(f"{files[0]} lacks columns: {', '.join(missing)}")
         scan_schema = T.StructType(
             [T.StructField(c, declared.get(c, T.StringType()), True) for c in header])
-        part = spark.read.options(**CSV_OPTIONS).schema(scan_schema).csv(files).select(*[
+        parts.append(spark.read.options(**CSV_OPTIONS).schema(scan_schema).csv(files).select(*[
             _clean(c, kind) if c in header else F.lit(None).cast(kind).alias(c)
             for c, kind in declared.items()
-        ])
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+        ]))
+    return stacked(parts)
 
 
 def _clean(name: str, kind: T.DataType):
