@@ -25,6 +25,7 @@ HEADLINE = [
     "m6_two_part_thinned_slopes", "a9_w6_draw_summaries", "g1_connected_components",
     "x3_tree_identity", "j17_event_trees", "a11_residual_quartiles", "a14_kernel_density_full_grid",
     "m9_cross_products", "m9_disturbance_type_model", "m10_time_since_model",
+    "m7_measured_slopes",      # 12,000 draws of every plot
 ]
 
 
