@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Drop what earlier rounds of an iterative job left behind.
+
+    Shuffle files, checkpoints, broadcasts and plans go once the driver collects its garbage, which it
+    otherwise does when its memory is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           columns: list[str] | None = None) -> DataFrame:
     """(i, th, text[, extra]): ``i`` is the id (a null one replaced), ``th`` a hash of the text.
