@@ -236,8 +236,7 @@ def _expand(groups: int, kind: pa.DataType):
             subroots.append(trees[g][-1][0])
             digests.append(node_hash(texts))
             paths.append(texts)
-            # An untampered leaf folds to the root that was just derived through its own path.
-            folded.append(root if changed[k] is None else fold(changed[k], path))
+            folded.append(fold(leaves[k] if changed[k] is None else changed[k], path))
         return pa.table({
             "key": own.column("key").cast(kind), "leaf": own.column("leaf"), "subroot": subroots,
             "root": pa.array([root] * len(gs), pa.string()), "proof_sha256": digests,

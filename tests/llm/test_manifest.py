@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from canopyframe.llm import manifest
@@ -127,3 +128,20 @@ def test_stored_manifest_exposes_a_changed_leaf(spark):
     root = climb([plain_leaf(r) for r in rows])[-1][0]
     for row in manifest.prove(placed, nodes, groups).collect():
         assert row["root"] == root and sha("".join(row["proof"])) == row["proof_sha256"]
+
+
+def test_every_leaf_is_folded_through_its_own_siblings(monkeypatch):
+    """Untampered leaves too: the folded root comes from the leaf and its path."""
+    n = 6
+    levels = climb([sha(str(k)) for k in range(n)])
+    calls = []
+    plain = manifest.fold
+    monkeypatch.setattr(manifest, "fold", lambda leaf, path: calls.append(leaf) or plain(leaf, path))
+    own = pa.table({"key": pa.array(range(n), pa.int64()), "g": [0] * n, "at": list(range(n)), "n": [n] * n,
+                    "leaf": levels[0], "tampered": pa.array([None, sha("x"), *[None] * 4], pa.string())})
+    fetched = pa.table({"g": pa.array([], pa.int64()), "level": pa.array([], pa.int32()),
+                        "at": pa.array([], pa.int64()), "hash": pa.array([], pa.string())})
+    out = manifest._expand(1, pa.int64())(own, fetched).to_pydict()
+    assert calls == [levels[0][0], sha("x"), *levels[0][2:]]
+    root = levels[-1][0]
+    assert [f == root for f in out["folded_root"]] == [True, False, True, True, True, True]
