@@ -11,6 +11,7 @@ both lognormal(1, 1), tau uniform on (x_min, x_max).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -459,6 +460,26 @@ def _picked(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(cum, u * cum[-1]), len(cum) - 1)
 
 
+def _named_uniforms(key: str, names: list[bytes]) -> np.ndarray:
+    """The numbers of ``_uniforms`` inside a task: 52 bits of the md5 of the key and every name."""
+    start = hashlib.md5(key.encode(), usedforsecurity=False)
+
+    def digest(name: bytes) -> bytes:
+        one = start.copy()
+        one.update(name)
+        return one.digest()
+
+    bits = np.frombuffer(b"".join(map(digest, names)), ">u8")[::2].astype(np.uint64) >> np.uint64(12)
+    return bits.astype(float) / float(1 << 52)
+
+
+def _cell_counts(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many of the uniform numbers pick each cell, as ``_picked`` does."""
+    ends = np.searchsorted(np.sort(u * cum[-1]), cum, "right")
+    ends[-1] = len(u)
+    return np.diff(ends, prepend=0)
+
+
 _DRAWS_PER_FRAME = 1_000_000
 
 
@@ -564,10 +585,46 @@ def slope_table(summaries: DataFrame, sizes: DataFrame, plot: str = "PLT_CN") ->
 
 def measured_slopes(draws: DataFrame, plot: str = "PLT_CN") -> DataFrame:
     """One row per plot from its draws of ``alpha``: corrected_slope, se_mean, sd."""
-    return (
+    return _measured(
         draws.filter(F.col("variable") == "alpha").groupBy(plot)
         .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-             F.count(F.lit(1)).alias("_n"))
-        .select(plot, slope_from_exponent(F.lit("alpha"), F.col("mean")).alias("corrected_slope"),
-                (F.col("sd") / F.sqrt("_n")).alias("se_mean"), "sd")
-    )
+             F.count(F.lit(1)).alias("_n")), plot)
+
+
+def _measured(moments: DataFrame, plot: str) -> DataFrame:
+    return moments.select(
+        plot, slope_from_exponent(F.lit("alpha"), F.col("mean")).alias("corrected_slope"),
+        (F.col("sd") / F.sqrt("_n")).alias("se_mean"), "sd")
+
+
+def drawn_slopes(sums: DataFrame, plot: str = "PLT_CN", seed: str = "draws",
+                 grid: int = GRID) -> DataFrame:
+    """``measured_slopes`` of all of ``pareto_draws``, whose draws stay in the task that makes them.
+
+    The draws of a plot are the same ones; what leaves a task is one row per plot, so neither their
+    uniform numbers nor the draws are rows or arrays of Spark.
+    """
+    kind = dict(sums.dtypes)[plot]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"|{chain}|{i}".encode() for chain in range(1, CHAINS + 1)
+                 for i in range(1, KEPT_ITERATIONS + 1)]
+        for pdf in _plot_blocks(batches):
+            a, w = _posterior_cells(pdf["N_Trees"].to_numpy(dtype=float),
+                                    pdf["S"].to_numpy(dtype=float), grid)
+            cum = np.cumsum(w, axis=1)
+            mean, sd = np.empty(len(pdf)), np.empty(len(pdf))
+            for i, key in enumerate(pdf["_key"]):
+                times = _cell_counts(cum[i], _named_uniforms(key, names))
+                own = np.flatnonzero(times)
+                # Relative to one value, so that equal draws have no spread.
+                away = a[i][own] - a[i][own[0]]
+                mean[i] = (times[own] @ away) / len(names)
+                sd[i] = math.sqrt((times[own] @ (away - mean[i]) ** 2) / (len(names) - 1))
+                mean[i] += a[i][own[0]]
+            yield pd.DataFrame({plot: pdf[plot].to_numpy(), "mean": mean, "sd": sd, "_n": len(names)})
+
+    named = F.concat_ws("|", F.lit(seed), F.col(plot).cast("string")).alias("_key")
+    moments = _spread(sums, plot).select(plot, "N_Trees", "S", named).mapInPandas(
+        measure, f"{plot} {kind}, mean double, sd double, _n long")
+    return _measured(moments, plot)

@@ -68,5 +68,4 @@ def full_draw_measurements(trees: DataFrame, x_min: float = pareto.X_MIN,
     standard error of their mean is sd / sqrt(draws). Plots with one draw value have no ``se_mean``.
     """
     sums = materialize(pareto.pareto_sums(_in_cm(trees, inches), x_min=x_min, weight=weight))
-    draws = pareto.pareto_draws(sums, grid=grid)
-    return pareto.measured_slopes(draws).join(sums.select("PLT_CN", "N_Trees"), "PLT_CN")
+    return pareto.drawn_slopes(sums, grid=grid).join(sums.select("PLT_CN", "N_Trees"), "PLT_CN")
