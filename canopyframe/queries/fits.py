@@ -10,6 +10,7 @@ from canopyframe.operators import criteria, pareto
 from canopyframe.plans import slopes
 from canopyframe.plans.prepare import analysis_table
 from canopyframe.queries.registry import query, r6, r6_sql, rounded, sa
+from canopyframe.session import materialize
 
 
 def _trees(fx):
@@ -432,7 +433,8 @@ def _(fx):
 @query("m4_compared_fits")
 def _(fx):
     """Both fits at the library's own grids, side by side."""
-    trees = _trees(fx)
+    # Written: the sums, the passes over open breaks and the cells of both fits read them.
+    trees = materialize(_trees(fx).select("PLT_CN", "DIA"))
     two = criteria.two_part_criteria(trees, pareto.resolved_sums(trees))
     return rounded(criteria.compared(criteria.one_part_criteria(trees), two), "elpd_one", "waic_one",
                    "elpd_two", "waic_two", "elpd_gain")
