@@ -160,8 +160,8 @@ def plot_products(state: DataFrame, sigmas: Sequence[float], plot_sds: Sequence[
                   region: str = "region") -> DataFrame:
     """Moments under a random plot intercept per (sigma, sd_plot, region, category).
 
-    Sigma is applied inside the tasks, to plots that lie whole in them. What is shuffled are sums
-    per region and category, and at most two unfinished plots per partition.
+    Sigma is applied inside the tasks, to plots that lie whole in them. What leaves a task are its
+    sums per region and category, once, and at most two unfinished plots.
     """
     kinds = dict(state.dtypes)
     pairs = _pairs(len(covariates) + 2)
@@ -174,41 +174,51 @@ def plot_products(state: DataFrame, sigmas: Sequence[float], plot_sds: Sequence[
     def long(frame: pd.DataFrame, points: int) -> pd.DataFrame:
         return frame.loc[frame.index.repeat(points)].reset_index(drop=True)
 
-    def summed(own: pd.DataFrame, n, log_det, m) -> pd.DataFrame:
-        """Rows per (sigma, sd_plot, cell) over some complete plots."""
+    def add(found: dict, own: pd.DataFrame, n, log_det, m) -> None:
+        """Adds some complete plots to the sums per cell: n, (sd, sigma) and (sd, sigma, moment)."""
         cell, label = pd.factorize(pd.MultiIndex.from_frame(own[cells]))
         order = np.argsort(cell, kind="stable")
         starts = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])
-        out = []
-        for sd in spreads:
-            ld, mm = _corrected(sd * sd, n, log_det, m, pairs)
-            ld, mm = (np.add.reduceat(v[order], starts, axis=0) for v in (ld, mm))
-            counts = np.add.reduceat(n[order], starts)
-            frame = long(pd.DataFrame(list(label), columns=cells), len(grid))
-            frame.insert(0, "sd_plot", sd)
-            frame.insert(0, "sigma", np.tile(grid, len(label)))
-            frame["n"] = np.repeat(counts, len(grid)).astype("int64")
-            frame["log_det"] = ld.ravel()
-            for k, name in enumerate(names):
-                frame[name] = mm[..., k].ravel()
-            out.append(frame)
-        return pd.concat(out, ignore_index=True)
+        counts = np.add.reduceat(n[order], starts)
+        log_det, m = log_det[order], m[order]
+        parts = [[np.add.reduceat(v, starts, axis=0) for v in _corrected(sd * sd, n, log_det, m, pairs)]
+                 for sd in spreads]
+        for k, key in enumerate(label):
+            new = (counts[k], np.stack([ld[k] for ld, _ in parts]), np.stack([mm[k] for _, mm in parts]))
+            found[key] = tuple(a + b for a, b in zip(found[key], new)) if key in found else new
+
+    def summed(found: dict) -> pd.DataFrame:
+        """Rows per (sigma, sd_plot, cell)."""
+        points = len(spreads) * len(grid)
+        frame = long(pd.DataFrame(list(found), columns=cells), points)
+        frame["sigma"] = np.tile(grid, len(found) * len(spreads))
+        frame["sd_plot"] = np.tile(np.repeat(spreads, len(grid)), len(found))
+        frame["n"] = np.repeat([c for c, _, _ in found.values()], points).astype("int64")
+        frame["log_det"] = np.concatenate([ld.ravel() for _, ld, _ in found.values()])
+        moments = np.concatenate([mm.reshape(points, -1) for _, _, mm in found.values()])
+        for k, name in enumerate(names):
+            frame[name] = moments[:, k]
+        frame[plot] = None
+        frame["whole"] = True
+        return frame[columns]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}
         for complete, own, n, log_det, m in totals(batches):
             if complete:
-                frame = summed(own, n, log_det, m)
-                frame[plot] = None
-            else:
-                frame = long(own, len(grid))
-                frame["sigma"] = np.tile(grid, len(own))
-                frame["sd_plot"] = np.nan
-                frame["n"] = np.repeat(n, len(grid)).astype("int64")
-                frame["log_det"] = log_det.ravel()
-                for k, name in enumerate(names):
-                    frame[name] = m[..., k].ravel()
-            frame["whole"] = complete
+                add(found, own, n, log_det, m)
+                continue
+            frame = long(own, len(grid))
+            frame["sigma"] = np.tile(grid, len(own))
+            frame["sd_plot"] = np.nan
+            frame["n"] = np.repeat(n, len(grid)).astype("int64")
+            frame["log_det"] = log_det.ravel()
+            for k, name in enumerate(names):
+                frame[name] = m[..., k].ravel()
+            frame["whole"] = False
             yield frame[columns]
+        if found:
+            yield summed(found)
 
     columns = ["whole", plot, "sigma", "sd_plot", *cells, "n", "log_det", *names]
     types = ", ".join(f"`{c}` {kinds[c]}" for c in cells)
