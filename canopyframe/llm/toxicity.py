@@ -11,6 +11,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -326,22 +327,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            out, at = [], 0
-            while at < len(texts):
-                to, size = at + 1, len(texts[at])
-                while to < len(texts) and size + len(texts[to]) <= BLOCK_CHARS:
-                    size += len(texts[to])
-                    to += 1
-                out.append(score(model, texts[at:to]))
+            # Bytes bound characters; a block goes on before the next one is opened.
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BLOCK_CHARS, "right")))
+                part = batch.slice(at, to - at)
+                scores = score(model, [t or "" for t in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[first:], pa.array(scores),
+                     pa.array((scores >= 0.5).astype(np.int32))],
+                    [*names, "_score", "_predicted"])
                 at = to
-            scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                [*batch.schema.names[1:], "_score", "_predicted"])
 
-    kept = docs.select(F.col(text_col).alias("_read"), F.col(id_col), *(columns or []),
+    columns = list(columns or [])
+    # A text that is carried along is moved once.
+    first = 0 if text_col in columns else 1
+    kept = docs.select(F.col(text_col).alias("_read"), F.col(id_col),
+                       *[c for c in columns if c != text_col],
                        (fold_of(id_col, folds) == held_fold).alias("_held"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return (kept.mapInArrow(run, f"{fields}, _score double, _predicted int")
-            .withColumnsRenamed({"_held": "held_out", "_score": "score", "_predicted": "predicted"}))
+    fields = kept.withColumnRenamed("_read", text_col).schema.fields[first:]
+    names = [f.name for f in fields]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return (kept.mapInArrow(run, f"{types}, _score double, _predicted int")
+            .withColumnsRenamed({"_held": "held_out", "_score": "score", "_predicted": "predicted"})
+            .select(id_col, *columns, "held_out", "score", "predicted"))

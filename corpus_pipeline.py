@@ -24,9 +24,11 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine, trained on ``labels``, doesn't reject."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    scored = toxicity.score_documents(rows, table(spark, sf_dir, "labels"), columns=["row"])
-    return scored.filter("predicted = 0").select("row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    scored = toxicity.score_documents(docs.select("doc_id", "text", others),
+                                      table(spark, sf_dir, "labels"), columns=["text", "row"])
+    return scored.filter("predicted = 0").select(
+        *["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
