@@ -87,6 +87,29 @@ def test_rounds_use_hash_aggregates(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_a_round_shuffles_links_few_times(spark):
+    rows = [(i, i % 7) for i in range(7, 400)] + [(1000, i) for i in range(300)]
+    links = spark.createDataFrame(rows, "hi long, lo long")
+    found = linking._star_round(links, len(rows))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("- Exchange hashpartitioning") <= 4
+    assert {r.lo for r in found.filter("hi = 1000").collect()} <= set(range(7))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_nodes_on_both_sides(spark, monkeypatch, seed):
+    monkeypatch.setattr(linking, "HOT_LINKS", 3)
+    rng = random.Random(seed)
+    edges = [(500, i) for i in range(0, 400, 3)] + [(7, i) for i in range(8, 300, 5)]
+    edges += [(rng.randrange(1000), rng.randrange(1000)) for _ in range(200)]
+    df = spark.createDataFrame(edges, "a int, b int")
+    found = linking.connected_components(df, "a", "b")
+    assert as_dict(found, "node", "component") == brute_components(edges)
+    assert found.count() == len(brute_components(edges))
+    assert dict(found.dtypes) == {"node": "int", "component": "int"}
+
+
 def test_no_edges(spark):
     assert components(spark, [("a", "a")]) == {}
 
