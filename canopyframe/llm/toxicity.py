@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.common import fold_of
+from canopyframe.llm.common import fold_of, thrifty
 
 DECAY = 0.6                # weight of one skipped character
 ORDERS = ((3, 4), (4, 4))  # (characters of a subsequence, places it may span beyond its first)
@@ -349,6 +349,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     fields = kept.withColumnRenamed("_read", text_col).schema.fields[first:]
     names = [f.name for f in fields]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return (kept.mapInArrow(run, f"{types}, _score double, _predicted int")
+    return (kept.mapInArrow(thrifty(run), f"{types}, _score double, _predicted int")
             .withColumnsRenamed({"_held": "held_out", "_score": "score", "_predicted": "predicted"})
             .select(id_col, *columns, "held_out", "score", "predicted"))

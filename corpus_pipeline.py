@@ -47,11 +47,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left is dropped.
     """
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    # Nothing is lost of a text that stays whole, so only the bytes that stay are carried along.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(
+        F.col("text").isNull().alias("absent"), F.struct(*others).alias("rest")).alias("row"))
     cut = repeats.remove_repeats(rows, columns=["row"]).filter("n_removed = 0 or n_removed < n_bytes")
     removed = F.col("n_removed") > 0
-    row = "extra.row"
-    new = {"text": F.when(removed, F.col("kept")).otherwise(F.col(f"{row}.text"))}
+    row = "extra.row.rest"
+    new = {"text": F.when(~F.col("extra.row.absent"), F.col("kept"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(removed, F.length("kept")).otherwise(F.col(f"{row}.n_chars")).cast(
             docs.schema["n_chars"].dataType)

@@ -3,13 +3,15 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import sentencepiece
 from test_pairs import (brute_classes, brute_contamination, changed, contamination_case, near_rows,
                         repeat_rows)
 
 import corpus_pipeline
-from canopyframe.llm import toxicity
+from canopyframe.llm import chunks, repeats, toxicity
 from canopyframe.llm.chunks import tokenizer_bytes
+from canopyframe.llm.common import thrifty
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -111,3 +113,51 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
             assert [r[c] for c in extra] == [f"{c}{r['doc_id']}" for c in extra]
     assert docs.count() == 4
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 4
+
+
+def test_repeats_carry_a_text_once(spark, monkeypatch):
+    line = "every good line is said again and again until nobody can bear to hear it any more, " * 2
+    rows = [(1, line, "a"), (2, None, "b"), (3, "", "c"), (4, "short é", None), (5, line, "e"),
+            (6, line + "and then some", "f")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 77) for i, t, lang in rows], DOCS)
+    seen = []
+
+    def watched(given, *args, found=repeats.remove_repeats, **options):
+        seen.append(given.schema.simpleString())
+        return found(given, *args, **options)
+
+    monkeypatch.setattr(repeats, "remove_repeats", watched)
+    out = {r.doc_id: tuple(r) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert seen[0].count("text:") == 1
+    left = brute_kept([(i, t) for i, t, _ in rows])
+    assert set(out) == set(left)
+    for i, text, lang in rows:
+        if i in left:
+            size = 77 if left[i] == text else len(left[i])
+            assert out[i] == (i, left[i], lang, "s", size)
+
+
+def test_a_thrifty_task_drops_tables_of_others():
+    class Table(chunks.ChunkTable):
+        def __init__(self, model):
+            super().__init__()
+
+    held = chunks.shared_table(Table, b"model")
+    assert chunks.shared_table(Table, b"model") is held
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(thrifty(lambda batches: batches)(iter([batch]))) == [batch]
+    assert chunks.shared_table(Table, b"model") is not held
+
+
+def test_anchors_do_not_depend_on_blocks():
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abc ") for _ in range(size)) for size in (0, 99, 100, 700, 3000, 260)]
+
+    def rows(limit):
+        out = []
+        for block in repeats.blocks(pa.array(texts), limit):
+            text, *rest = repeats.anchors(block)
+            out += list(zip((text + block.first).tolist(), *(x.tolist() for x in rest)))
+        return out
+
+    assert rows(1 << 19) == rows(200) == rows(2 << 20)
