@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.llm.chunks import ByteChunks, shared_table, tokenizer_bytes
-from canopyframe.llm.common import id_of, keyed, written
+from canopyframe.llm.common import id_of, keyed, thrifty, written
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
@@ -36,15 +36,15 @@ def compress(tokens: np.ndarray, cuts: np.ndarray, rounds: int = ROUNDS,
     ``cuts`` marks tokens after which no pair may form (document ends), so that every document is a
     whole number of symbols. ``lengths`` has the tokens each rule expands to.
     """
-    symbols, last = tokens.astype(np.int64), cuts.copy()
+    symbols, last = tokens.astype(np.int32), cuts.copy()
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     made, mask = 0, (1 << SLOT_BITS) - 1
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        key = (symbols[:-1] << 24) | symbols[1:]
-        slot = ((key * 0x9E3779B1) >> 13) & mask
+        key = (symbols[:-1].astype(np.int64) << 24) | symbols[1:]
+        slot = (((key * 0x9E3779B1) >> 13) & mask).astype(np.int32)
         free = ~last[:-1]
         # A slot stands for the pair that was put there last; only that pair is counted.
         holder = np.full(mask + 1, -1, np.int64)
@@ -85,15 +85,15 @@ def _lengths(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """Tokens of a symbol sequence; one pass per depth of the grammar."""
-    symbols = symbols.astype(np.int64)
+    symbols = symbols.astype(np.int32)
     while len(symbols) and (rule := symbols >= FIRST_RULE).any():
-        size = np.where(rule, 2, 1)
-        first = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
+        more = np.cumsum(rule, dtype=np.int32)
+        first = np.arange(len(symbols), dtype=np.int32) + more - rule
+        out = np.empty(len(symbols) + int(more[-1]), np.int32)
         out[first] = symbols
-        pairs = rules[symbols[rule] - FIRST_RULE]
-        out[first[rule]] = pairs[:, 0]
-        out[first[rule] + 1] = pairs[:, 1]
+        pairs, first = rules[symbols[rule] - FIRST_RULE], first[rule]
+        out[first] = pairs[:, 0]
+        out[first + 1] = pairs[:, 1]
         symbols = out
     return symbols.astype("<u4")
 
@@ -161,6 +161,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         ids, codes, held, seq = [], [], 0, seq + 1
         if ids:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     return (keyed(docs, id_col, text_col).repartitionByRange("i", "th")
             .sortWithinPartitions("i", "th").select("i", "text").mapInArrow(run, SHARD))
@@ -189,7 +190,9 @@ def decoded(stored: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                # One shard at a time: a batch may hold all of a task's.
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
                 shard = unpack(row)
                 tokens = expand(shard["symbols"], shard["rules"])
                 ends = np.cumsum(shard["counts"])
@@ -204,7 +207,7 @@ def decoded(stored: DataFrame) -> DataFrame:
                                            for a, b in zip(starts, ends)], pa.int64()),
                     "before": pa.array(starts)})
 
-    return stored.mapInArrow(run, DECODED)
+    return stored.mapInArrow(thrifty(run), DECODED)
 
 
 def token_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
