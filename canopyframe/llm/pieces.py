@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from canopyframe.llm.chunks import PieceChunks, shared_table, tokenizer_bytes
+from canopyframe.llm.common import give_back
 
 MODEL = "piece_bpe_32k.model"
 
@@ -49,6 +50,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     out = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").mapInArrow(
         run, fields + (", ids array<int>" if with_ids else ""))

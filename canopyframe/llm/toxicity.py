@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.common import fold_of, thrifty
+from canopyframe.llm.common import fold_of, give_back, thrifty
 
 DECAY = 0.6                # weight of one skipped character
 ORDERS = ((3, 4), (4, 4))  # (characters of a subsequence, places it may span beyond its first)
@@ -127,7 +127,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     index = np.full(1 << TABLE_BITS, -1, np.int64)
     index[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    step = 200
+    step = 50
     for at in range(0, len(words), step):
         rows, keys, values = _occurrences(words[at:at + step])
         hit = index[keys] >= 0
@@ -135,7 +135,18 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         order = np.argsort(rows, kind="stable")
         own, first = np.unique(rows[order], return_index=True)
         if len(own):
-            out[at + own] = np.add.reduceat(features[keys[order]] * values[order][:, None], first)
+            shared = features[keys[order]]
+            shared *= values[order][:, None]
+            out[at + own] = np.add.reduceat(shared, first)
+    return out
+
+
+def _features(words: list[str], landmarks: list[str], fold: np.ndarray) -> np.ndarray:
+    """``kernel`` times ``fold``, made for some words at a time: only the product is held whole."""
+    out = np.empty((len(words), fold.shape[1]), np.float32)
+    step = 12_288       # a multiple of what the matrix product takes at once, so sums stay the same
+    for at in range(0, len(words), step):
+        out[at:at + step] = kernel(words[at:at + step], landmarks) @ fold
     return out
 
 
@@ -228,10 +239,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         values, vectors = np.linalg.eigh(k_mm * scale * scale[:, None])
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = kernel(words, landmarks) @ (scale[:, None] * root).astype(np.float32)
+        x = _features(words, landmarks, (scale[:, None] * root).astype(np.float32))
         label = np.r_[np.ones(len(positives)), -np.ones(len(clean) + len(hard))]
         cost = np.r_[np.full(len(positives), 1.0), np.full(len(clean) + len(hard), 0.3)]
         w = _machine(x, label, cost)
+        del x       # not kept beside the next round's
+        give_back()
         # sum_j c_j k(word, landmark_j) as one weight per subsequence
         c = scale * (root @ w[:-1])
         rows, keys, gains = _occurrences(landmarks)
@@ -298,7 +311,7 @@ def trained(sample: DataFrame | None) -> Model:
                 "slope": [float(model.slope)], "shift": [float(model.offset)]})
 
     found = sample.repartition(1).mapInArrow(
-        run, "weights binary, bias double, slope double, shift double").collect() if sample else []
+        thrifty(run), "weights binary, bias double, slope double, shift double").collect() if sample else []
     if not found:
         return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, -3.0)
     row = found[0]

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from test_pairs import (brute_classes, brute_contamination, changed, contamination_case, near_rows,
@@ -161,3 +163,58 @@ def test_anchors_do_not_depend_on_blocks():
         return out
 
     assert rows(1 << 19) == rows(200) == rows(2 << 20)
+
+
+def test_training_starts_without_the_tables_of_others(monkeypatch):
+    class Table(chunks.ChunkTable):
+        def __init__(self, model):
+            super().__init__()
+
+    class Sample:
+        def repartition(self, n):
+            return self
+
+        def mapInArrow(self, run, schema):      # noqa: N802
+            self.run = run
+            return self
+
+        def collect(self):
+            batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["a", "b"], "y": [1, 0]})
+            return [row for out in self.run(iter([batch])) for row in out.to_pylist()]
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: (
+        seen.append(chunks.shared_table(Table, b"model")),
+        toxicity.Model(np.zeros(4), 0.5, 1.0, 2.0))[1])
+    held = chunks.shared_table(Table, b"model")
+    model = toxicity.trained(Sample())
+    assert (model.bias, model.slope, model.offset) == (0.5, 1.0, 2.0)
+    assert len(seen) == 1 and seen[0] is not held
+
+
+def _traced(run):
+    """(result, MB held after it, most MB on the way)."""
+    tracemalloc.start()
+    try:
+        before, out = tracemalloc.get_traced_memory()[0], run()
+        return out, *((x - before) / 1e6 for x in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_holds_little_beside_its_features():
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(26_000)]
+    landmarks, fold = words[:150], np.random.default_rng(1).random((150, 10), dtype="f4")
+    whole, size, most = _traced(lambda: toxicity.kernel(words, landmarks))
+    assert most - size < 18
+    parts, _, most = _traced(lambda: toxicity._features(words, landmarks, fold))
+    assert np.allclose(parts, whole @ fold, rtol=1e-5) and most < size / 2 + 18
+
+
+def test_a_piece_table_takes_little_per_unit():
+    table = chunks.PieceChunks(chunks.tokenizer_bytes("piece_bpe_32k.model"))
+    draw = random.Random(4)
+    units = ["".join(draw.choice("abcdefgh") for _ in range(8)) for _ in range(20_000)]
+    _, held, _ = _traced(lambda: table.values(units))
+    assert held * 1e6 / len(table.new) < 150
