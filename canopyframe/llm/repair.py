@@ -167,7 +167,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .sortWithinPartitions("i", "th").select("i", "text").mapInArrow(run, SHARD))
 
 
-def _groups(batch: pa.RecordBatch, chars: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
+def _groups(batch: pa.RecordBatch, chars: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of neighbouring rows, about so many characters at a time."""
     ids: list = []
     texts: list[str] = []

@@ -166,3 +166,36 @@ def test_edits_from_a_table(spark, byte_library):
         assert row["chars_after"] == len(after[row["doc_id"]])
         assert row["n_tokens_after"] == len(
             byte_library.encode(after[row["doc_id"]], add_special_tokens=False).ids)
+
+
+def test_words_reach_the_library_once(byte_library):
+    table, words, draw = ByteChunks(tokenizer_bytes("byte_bpe_50k.json")), [], random.Random(9)
+    fill, joined = table.fill, table._joined
+    looked_up, new = [], []
+    table.values = lambda chunks, values=table.values: (looked_up.extend(chunks), values(chunks))[1]
+    table.fill = lambda chunks: (new.extend(chunks), fill(chunks))[1]
+    table.lines.joined = lambda chunks, before: (new.extend(chunks), joined(chunks, before))[1]
+    vocabulary = ["tree", "größe", "idée", "stand's", "plot", "日本", "x1"]
+    for _ in range(400):
+        words.append(draw.choice(vocabulary) + draw.choice(["", "", ".", ",###", "!\n", ".\nThe", "\nÉté,"]))
+    texts_ = [" ".join(words[k:k + 20]) for k in range(0, 400, 20)] + ["", "one", "  two\n words "]
+    for text, ids in zip(texts_, table.encode_many(texts_)):
+        want = byte_library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u2").tolist() == want, text
+    # A word counts once, whatever marks and line starts follow it.
+    assert len(looked_up) == len(set(looked_up)) and len(new) == len(set(new))
+    assert {"tree", "plot", "größe", "idée", "The", "Été"} <= set(new)
+    assert not {"tree.", "plot,###", "tree.\nThe", "idée\nÉté,"} & set(looked_up)
+
+
+def test_many_texts_equal_the_library(byte_library):
+    table = ByteChunks(tokenizer_bytes("byte_bpe_50k.json"), limit=300)
+    draw = random.Random(10)
+    for size in (1, 3, 40):
+        some = texts(size, size * 20, 30) + ["".join(draw.choice(
+            ["ab", "Zé", " ", " ", ".", "!?", "\n", "\r", "\nOf", "'t", "ß\n\n"]) for _ in range(60))
+            for _ in range(200)]
+        draw.shuffle(some)
+        for text, ids in zip(some, table.encode_many(some)):
+            want = byte_library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u2").tolist() == want, text
